@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_path
-from quarry.llm import bpe, groups, sql, topn
+from quarry.llm import bpe, groups, pii, sql, topn
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,5 +32,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.scan(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "redacted")
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES = {"p3_found": sql.P3, "p6_found": sql.P6}
