@@ -37,7 +37,7 @@ def _spread(edges: DataFrame, on: str, per_vertex: DataFrame, hot: DataFrame | N
     if hot is None:
         return edges.join(per_vertex, on)
     mark = F.broadcast(hot.select(F.col("v").alias(on), F.lit(1).alias("is_hot")))
-    left = edges.join(mark, on, "left").withColumn("salt", F.when(F.col("is_hot") == 1, (F.rand(7) * SALT).cast("int")).otherwise(0)).drop("is_hot")
+    left = edges.join(mark, on, "left").withColumn("salt", F.when(F.col("is_hot") == 1, F.pmod(F.xxhash64(*edges.columns), F.lit(SALT)).cast("int")).otherwise(0)).drop("is_hot")
     right = per_vertex.join(mark, on, "left").withColumn("salt", F.explode(F.when(F.col("is_hot") == 1, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("is_hot")
     return left.join(right, [on, "salt"]).drop("salt")
 
@@ -51,14 +51,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         size = graph.count()
         if not size:
             break
-        both = graph.select("u", "v").unionByName(graph.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = both.groupBy("u").count().filter(F.col("count") >= HOT_EDGES).select(F.col("u").alias("v")) if size >= HOT_EDGES else None
-        if hot is not None:
-            hot = scratch.write(hot)
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = graph.select(F.explode(ends).alias("e")).select("e.u", "e.v")
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        hot = None
+        if size >= HOT_EDGES:
+            hot = low.filter(F.col("n") >= HOT_EDGES).select(F.col("u").alias("v"))
             hot = hot if hot.limit(1).count() else None
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # named(w, m): w is told of m, the minimum of a neighbour's (or its own) neighbourhood
-        told = _spread(both, "u", low, hot).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m")).distinct()
+        # told(w, m): w is told of m, the minimum of a neighbour's (or its own) neighbourhood
+        told = _spread(both, "u", low.select("u", "m"), hot).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m")).distinct()
         told = scratch.write(told)
         best = told.groupBy("w").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("w")).cast("int")).alias("own"), F.count("*").alias("n"))
         best = scratch.write(best)
@@ -70,7 +71,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # a vertex that names itself and has no edge left is the seed of its component
         linked = new.select(F.explode(F.array("u", "v")).alias("v")).distinct()
         seeds.append(scratch.write(best.filter("own = 1 and n = 1").select(F.col("w").alias("v")).join(linked, "v", "left_anti")))
-        scratch.drop(graph, told)
+        scratch.drop(graph, told, low)
         graph = new
     if not seeds:
         return graph.select("v", F.col("u").alias("seed"))
