@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_path
-from quarry.llm import bpe, groups, pii, sql, topn
+from quarry.llm import bpe, groups, handwritten, pii, sql, topn
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(latest, F.col("analysis_id"), [F.col(c) for c in HOTSPOT_SCORES], F.col("path"), 10, ("analysis_id", "hotspot_rank", "file_path"))
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories of one owner are related; a run without a known repository stands for itself."""
+    jobs = spark.read.parquet(f"{d}/analysis_jobs.parquet").groupBy("id").agg(F.max_by("repository_id", "updated_at").alias("repository_id"))
+    repositories = spark.read.parquet(f"{d}/repositories.parquet").groupBy("id").agg(F.max("owner").alias("owner")).withColumnRenamed("id", "repository_id")
+    owners = jobs.join(repositories, "repository_id", "left").select(F.col("id").alias("analysis_id"), F.coalesce("owner", "repository_id").alias("owner"))
+    files = spark.read.parquet(f"{d}/repository_files.parquet").filter("id is not null")
+    return handwritten.not_handwritten(files, "id", "analysis_id", "path", "content", owners)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select(F.col("id").alias("file_id")).distinct()
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select(F.col("id").alias("file_id"), "kind").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text")
 
@@ -40,5 +57,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "redacted")
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES = {"p3_found": sql.P3, "p6_found": sql.P6}
