@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_path
-from quarry.llm import bpe, groups, handwritten, pii, sql, topn
+from quarry.llm import bpe, broken, groups, handwritten, pii, sql, topn
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(latest, F.col("analysis_id"), [F.col(c) for c in HOTSPOT_SCORES], F.col("path"), 10, ("analysis_id", "hotspot_rank", "file_path"))
 
 
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    files = spark.read.parquet(f"{d}/repository_files.parquet").filter("id is not null")
+    return broken.check_files(files, "id", "analysis_id", "path", "content")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).filter("repair_cost > 0").select(F.col("id").alias("file_id")).distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per repository (of the run's job) and language."""
+    jobs = spark.read.parquet(f"{d}/analysis_jobs.parquet").groupBy("id").agg(F.max_by("repository_id", "updated_at").alias("repository_id"))
+    checked = _p4(spark, d).join(jobs.withColumnRenamed("id", "analysis_id"), "analysis_id", "left")
+    return broken.rates(checked, "id", "repository_id")
+
+
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     """Repositories of one owner are related; a run without a known repository stands for itself."""
     jobs = spark.read.parquet(f"{d}/analysis_jobs.parquet").groupBy("id").agg(F.max_by("repository_id", "updated_at").alias("repository_id"))
@@ -57,5 +73,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "redacted")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES = {"p3_found": sql.P3, "p6_found": sql.P6}
