@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_path
-from quarry.llm import bpe, broken, groups, handwritten, pii, sql, topn
+from quarry.llm import bpe, broken, groups, handwritten, mix, pii, sql, topn
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,19 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text")
 
 
+def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mix.draw_mix(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/source_targets.parquet"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each occurs."""
+    return _p8(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
@@ -73,5 +86,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").select("doc_id", "redacted")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES = {"p3_found": sql.P3, "p6_found": sql.P6}
