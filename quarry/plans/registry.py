@@ -1,8 +1,9 @@
 """Queries of the core and the same results in SQL."""
 
-from quarry.plans import sql_core
+from quarry.plans import sql_core, sql_reads
 from quarry.plans.issue_changes import p1_found
+from quarry.plans.reads import CORE
 from quarry.plans.symbol_trees import p2_descendants, p2_found, p2_paths
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants}
-ORACLES = {"p1_found": sql_core.P1, "p2_found": sql_core.P2, "p2_paths": sql_core.P2_PATHS, "p2_descendants": sql_core.P2_DESCENDANTS}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants} | CORE
+ORACLES = {"p1_found": sql_core.P1, "p2_found": sql_core.P2, "p2_paths": sql_core.P2_PATHS, "p2_descendants": sql_core.P2_DESCENDANTS} | sql_reads.SQL
