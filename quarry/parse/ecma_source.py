@@ -228,7 +228,7 @@ def _figures(t: list[Tok], pair: dict[int, int], fn: dict, nested: list[tuple[in
     i = a
     while i <= b and i < len(t):
         if i in inner and i != a:
-            i = inner[i] + 1
+            i = max(i, inner[i]) + 1
             continue
         while deep and i > deep[-1]:
             deep.pop()
@@ -349,7 +349,7 @@ def _symbols(t: list[Tok], pair: dict[int, int], path: str, typed: bool, functio
             mine = [x["name"] for x in out if x["start_line"] == t[start].line and x["start_column"] == t[start].column]
             first = mine[0] if mine else (t[start + 1].text if start + 1 < n else "")
             put(start, max(end, start), f"export {first}", "export")
-        i = end + 1
+        i = max(i, end) + 1
     return out
 
 
@@ -357,7 +357,7 @@ def _depth(t: list[Tok], pair: dict[int, int], open_: int, i: int) -> bool:
     """Whether i lies directly within the brackets that open at ``open_``."""
     j = open_ + 1
     while j < i:
-        j = pair[j] + 1 if t[j].text in OPENERS and j in pair else j + 1
+        j = max(j, pair[j]) + 1 if t[j].text in OPENERS and j in pair else j + 1
     return j == i
 
 

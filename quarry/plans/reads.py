@@ -23,7 +23,7 @@ def url_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def discovered_files(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.discover(files(spark, d)).select(G, "id", "path", "filename", "extension", "language", "is_analyzable", F.col("line_count").cast("long").alias("line_count"))
+    return discovery.discover(files(spark, d)).select(G, "id", "path", "filename", "extension", "language", "is_analyzable", F.coalesce(F.col("line_count").cast("long"), F.lit(-1)).alias("line_count"))
 
 
 def language_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -57,7 +57,7 @@ with ls(s, lang) as (values {_LANGUAGES}), ns(n, lang) as (values {_NAMES}),
 f as (select *, string_split(path, '/')[-1] filename, string_split(path, '/')[:-2] folders from {_FILES}),
 x as (select *, lower(regexp_extract(filename, '^.+(\\.[^.]*)$', 1)) extension from f)
 select analysis_id, id, path, filename, extension, coalesce(ns.lang, ls.lang) as "language", coalesce(ns.lang, ls.lang) is not null and coalesce(ns.lang, ls.lang) <> 'Markdown' is_analyzable,
-  case when size_bytes <= 10485760 then length(content) - length(replace(content, chr(10), '')) end line_count
+  coalesce(case when size_bytes <= 10485760 then length(content) - length(replace(content, chr(10), '')) end, -1) line_count
 from x left join ns on ns.n = lower(filename) left join ls on ls.s = extension
 where extension not in ({_LIST(IGNORED_SUFFIXES)}) and len([d for d in folders if lower(d) in ({_LIST(IGNORED_FOLDERS)}) or starts_with(d, '.git')]) = 0""",
     "job_status": f"select j.id, j.repository_id, r.url, r.name, j.status from {_JOBS} j join repositories r on r.id = j.repository_id",
@@ -146,7 +146,7 @@ select *, case when new_blockers > 0 then 'FAILED' when new_criticals > 0 then '
 t as (select analysis_id, [x for x in a if x is not null] m from u)
 select analysis_id, case when list_contains(m, 'overall_score') or list_contains(m, 'blocker_issues') then 'FAILED' when len(m) > 0 then 'WARNING' else 'PASSED' end status,
   not (list_contains(m, 'overall_score') or list_contains(m, 'blocker_issues')) passed, array_to_string(m, ',') missed from t""",
-    "language_shares": f"""with d as ({SQL['discovered_files']}), p as (select analysis_id, "language", cast(sum(coalesce(line_count, 0)) as bigint) lines, count(*) files from d where is_analyzable group by 1, 2),
+    "language_shares": f"""with d as ({SQL['discovered_files']}), p as (select analysis_id, "language", cast(sum(greatest(line_count, 0)) as bigint) lines, count(*) files from d where is_analyzable group by 1, 2),
 w as (select analysis_id, sum(lines) al, sum(files) af from p group by 1)
 select analysis_id, "language", lines, files, round(case when al > 0 then lines / al::double else files / af::double end * 100, 1) "share" from p join w using (analysis_id) where lines > 0 or al = 0""",
 }
