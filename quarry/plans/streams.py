@@ -47,7 +47,7 @@ def sliding_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def event_feeds(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("event", F.when(F.col("event_type") == "error", "error").otherwise(F.col("event_type")))
-    return _run(progress.event_feed(e, "user_id", "event", "ts", "props"), "feed", "append").filter("event <> 'ping'").select("user_id", "seq", "event")
+    return _run(progress.event_feed(e, "user_id", "event", "ts", "props", idle=None), "feed", "append").filter("event <> 'ping'").select("user_id", "seq", "event")
 
 
 STREAMS = {f.__name__: f for f in (latest_status, session_limits, silent_runs, sliding_limits, event_feeds)}

@@ -65,13 +65,14 @@ def sliding_limit(rows: DataFrame, key: str, ts: str, limit: int, seconds: int =
     return rows.select(key, ts).groupBy(key).applyInPandasWithState(run, schema, "kept array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
-def event_feed(rows: DataFrame, key: str, event: str, ts: str, data: str, idle: str = "15 seconds") -> DataFrame:
-    """What a subscriber of each key sees: events in order up to the first terminal one, and a ``ping`` after ``idle``.
+def event_feed(rows: DataFrame, key: str, event: str, ts: str, data: str, idle: str | None = "15 seconds") -> DataFrame:
+    """What a subscriber of each key sees: events in order up to the first terminal one, and a ``ping`` after ``idle``
+    without events (none without ``idle``, for replays that must end).
 
     A key's state is its last event and whether it has ended; later events of an ended key are dropped.
     """
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, seq bigint, event string, data string"
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, ended = state.get if state.exists else (0, False)
@@ -88,11 +89,11 @@ def event_feed(rows: DataFrame, key: str, event: str, ts: str, data: str, idle:
                 out.append((k[0], seq, e, d))
                 ended = e in TERMINAL
             state.update((seq, ended))
-            if not ended:
+            if not ended and milliseconds:
                 state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(out, columns=[key, "seq", "event", "data"])
 
-    return rows.select(key, event, ts, data).groupBy(key).applyInPandasWithState(run, schema, "seq bigint, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.select(key, event, ts, data).groupBy(key).applyInPandasWithState(run, schema, "seq bigint, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def cancellations(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
