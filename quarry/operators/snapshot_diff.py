@@ -23,6 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Snapshots (three short values each) up to which their positions are broadcast, after a count.
+BROADCAST_SNAPSHOTS = 50_000
+
+
 def snapshot_positions(snapshots: DataFrame, snapshot: Column, series: Column, order: Sequence[Column]) -> DataFrame:
     """One row per snapshot: its series, position, whether it is the last, and the id of its successor."""
     w = Window.partitionBy("sd_series").orderBy(*[F.col(f"sd_o{i}").asc_nulls_last() for i in range(len(order))], "sd_snapshot")
@@ -46,17 +50,16 @@ def diff_snapshots(
     ``positions`` comes from :func:`snapshot_positions`; ``order`` ranks repeated rows of one record, best first.
     """
     names = list(key)
-    tagged = rows.select(
-        snapshot.alias("sd_snapshot"),
-        *[c.alias(f"sd_k_{n}") for n, c in key.items()],
-        *[c.alias(f"sd_f_{n}") for n, c in fingerprint.items()],
-        *[o.alias(f"sd_r{i}") for i, o in enumerate(order)],
-    ).join(positions, "sd_snapshot")
+    marks = [c.alias(f"sd_f_{n}") for n, c in fingerprint.items()]
+    ranks = [o.alias(f"sd_r{i}") for i, o in enumerate(order)]
+    given = rows.select(snapshot.alias("sd_snapshot"), *[c.alias(f"sd_k_{n}") for n, c in key.items()], *marks, *ranks)
+    kept_names, rank_names = [f"sd_f_{n}" for n in fingerprint], [f"sd_r{i}" for i in range(len(order))]
+    # repeated rows are folded where they lie, before anything is shuffled; equal ranks go by the compared values
+    once = given.groupBy("sd_snapshot", *[f"sd_k_{n}" for n in names]).agg(F.max_by(F.struct(*kept_names), F.struct(*rank_names, *kept_names)).alias("sd_f"))
+    few = positions.limit(BROADCAST_SNAPSHOTS + 1).count() <= BROADCAST_SNAPSHOTS
+    tagged = once.join(F.broadcast(positions) if few else positions, "sd_snapshot").select("*", "sd_f.*").drop("sd_f")
     keys = ["sd_series", *[f"sd_k_{n}" for n in names]]
-    laid = tagged.repartitionByRange(*keys)
-    ranked = [F.col(f"sd_r{i}").desc_nulls_last() for i in range(len(order))]
-    first = F.row_number().over(Window.partitionBy(*keys, "sd_pos").orderBy(*ranked))
-    kept = laid.withColumn("sd_n", first).filter("sd_n = 1")
+    kept = tagged.repartitionByRange(*keys)
     line = Window.partitionBy(*keys).orderBy("sd_pos")
     before = F.lag("sd_pos").over(line)
     after = F.lead("sd_pos").over(line)
