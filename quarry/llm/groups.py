@@ -46,7 +46,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (u, v longs, any direction, repeats and loops allowed) -> (v, seed), seed = smallest vertex of the component."""
     graph = scratch.write(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     forest: list[DataFrame] = []
-    seeds: list[DataFrame] = []
+    everyone: DataFrame | None = None
     while True:
         size = graph.count()
         if not size:
@@ -61,21 +61,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # told(w, m): w is told of m, the minimum of a neighbour's (or its own) neighbourhood
         told = _spread(both, "u", low.select("u", "m"), hot).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m")).distinct()
         told = scratch.write(told)
-        best = told.groupBy("w").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("w")).cast("int")).alias("own"), F.count("*").alias("n"))
+        best = told.groupBy("w").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("w")).cast("int")).alias("own"), F.max("m").alias("high"))
         best = scratch.write(best)
         forest.append(best.filter("own = 0").select(F.col("w").alias("v"), F.col("low").alias("p")))
-        more = best.filter("n > 1").select("w", "low")
+        more = best.filter("low <> high").select("w", "low")
         busy = hot.select("v") if hot is not None else None
         rest = _spread(told, "w", more, busy).filter("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
         new = scratch.write(rest)
-        # a vertex that names itself and has no edge left is the seed of its component
-        linked = new.select(F.explode(F.array("u", "v")).alias("v")).distinct()
-        seeds.append(scratch.write(best.filter("own = 1 and n = 1").select(F.col("w").alias("v")).join(linked, "v", "left_anti")))
-        scratch.drop(graph, told, low)
+        scratch.drop(graph, told)
+        if everyone is None:
+            everyone = low.select(F.col("u").alias("v"))
+        else:
+            scratch.drop(low)
         graph = new
-    if not seeds:
+    if everyone is None:
         return graph.select("v", F.col("u").alias("seed"))
-    return _flow(_all(forest), _all(seeds), scratch)
+    # who never dropped out is the seed of its component
+    fallen = _all(forest)
+    return _flow(fallen, scratch.write(everyone.join(fallen.select("v"), "v", "left_anti")), scratch)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -113,12 +116,10 @@ def group_matches(pairs: DataFrame, scope: Column, source: Column, target: Colum
             return F.xxhash64(F.lit(seed), F.lit("v"), "s", c).bitwiseAND(F.lit(-2))  # even: a named vertex; odd: a key
 
         named = rows.select("s", F.explode(F.array("a", "b")).alias("x")).filter("x is not null")
-        vertices = scratch.write(
-            named.groupBy(code("x").alias("v")).agg(F.min(F.struct("s", "x")).alias("n"), F.min(F.hash("s", "x")).alias("c0"), F.max(F.hash("s", "x")).alias("c1"))
-            .select("v", "n.s", "n.x", (F.col("c0") != F.col("c1")).alias("clash"))
-        )
+        vertices = scratch.write(named.distinct().withColumn("v", code("x")))
+        clash = vertices.groupBy("v").count().filter("count > 1")
         keys = rows.filter("k is not null").groupBy(F.xxhash64(F.lit(seed), F.lit("k"), "s", "k").bitwiseOR(F.lit(1)).alias("h")).agg(F.min(F.hash("s", "k")).alias("c0"), F.max(F.hash("s", "k")).alias("c1"))
-        if not vertices.filter("clash").limit(1).count() and not keys.filter("c0 <> c1").limit(1).count():
+        if not clash.limit(1).count() and not keys.filter("c0 <> c1").limit(1).count():
             break
         scratch.drop(vertices)
         seed += 1
