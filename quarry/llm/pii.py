@@ -82,6 +82,11 @@ NO_FAMILY = frozenset(
     march april june july august september october november december bitte die der das am nach siehe größere ich kein keine und oder im zum la el los las le les un une una no por tras yo je
     ne après largeur street avenue road drive court crescent dear hello kind best regards thanks merge rebase ticket coverage installed ring contact reply send ship mail signed reported""".split()
 )
+# Words that open a sentence or a note, so that a name in front of them ends there.
+OPENERS = frozenset(
+    """maintenance responsable kernel runner rows digest isbn location remote owner runs reunión réunion livraison kontakt contacto gemeldet freigabe ansprechpartner guardia astreinte rufbereitschaft
+    consultad escribid enviad quitad llamad appelez écrire envoyez merci voir signalé handed pairing national tax mon mobile number phone email note notes todo fixed merged closed opened""".split()
+)
 
 EMAIL_PLAIN = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9._%+'\-]*[A-Za-z0-9_+\-])?$")
 _AT = r"(?:\(at\)|\[at\]|\{at\}|<at>|\(ät\)|\[ät\]|\(a\)|\[a\]|\(arroba\)|\[arroba\]|\(arobase\)|\[arobase\]|＠)"
@@ -118,6 +123,18 @@ def _trim(s: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+#: Digits of a full number, for countries where their count is fixed.
+COUNTRY_DIGITS = {"1": 11, "33": 11, "34": 11, "44": 12}
+
+
+def _fits(digits: str, trunk_zero: bool) -> bool:
+    """Whether an international number has as many digits as its country's numbers have."""
+    for code, n in COUNTRY_DIGITS.items():
+        if digits.startswith(code):
+            return len(digits) - trunk_zero == n
+    return True
+
+
 def _phone(text: str, a: int, b: int, cue: bool) -> tuple[int, int] | None:
     """The phone number within the digit run text[a:b], or None. Structure decides; bare digit strings need a cue."""
     s = text[a:b]
@@ -129,7 +146,7 @@ def _phone(text: str, a: int, b: int, cue: bool) -> tuple[int, int] | None:
     if s.count("(") != s.count(")"):
         return None
     m = re.fullmatch(r"(?:\+|00)([1-9]\d{0,2})[ .\-/]?(?:\(0\)[ .\-/]?)?(?:\(?\d{1,5}\)?[ .\-/]{0,2})?\d(?:[ .\-/]?\d)+", s)
-    if m and 8 <= len(digits) - 2 * s.startswith("00") <= 15:
+    if m and 8 <= len(digits) - 2 * s.startswith("00") <= 15 and _fits(digits[2 * s.startswith("00") :], "(0)" in s):
         return a, b
     if re.fullmatch(r"(?:1[ .\-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d([.\- ]))[2-9]\d\d[.\- ]\d{4}", s):
         return a, b
@@ -141,7 +158,7 @@ def _phone(text: str, a: int, b: int, cue: bool) -> tuple[int, int] | None:
         return a, b
     if re.fullmatch(r"[5-9]\d\d(?: \d\d){3}|[5-9]\d\d(?: \d{3}){2}", s):
         return a, b
-    if cue and re.fullmatch(r"\d(?:[ .\-/]?\d)*", s) and (9 <= len(digits) <= 13) and (len(digits) == 10 or digits[0] in "056789"):
+    if cue and not digits.startswith(("978", "979")) and re.fullmatch(r"\d(?:[ .\-/]?\d)*", s) and (9 <= len(digits) <= 13) and (len(digits) == 10 or digits[0] in "056789"):
         return a, b
     return None
 
@@ -333,7 +350,8 @@ class Finder:
 
     @staticmethod
     def _family(word: str) -> bool:
-        return word.split()[-1].lower() not in NO_FAMILY and len(word) > 1
+        last = word.split()[-1].lower()
+        return last not in NO_FAMILY and last not in OPENERS and len(word) > 1
 
     def _given(self, text: str, a: int, b: int, word: str) -> tuple[int, int, str] | None:
         if (a and (text[a - 1].isalnum() or text[a - 1] in "_@.-/")) or (b < len(text) and (text[b].isalnum() or text[b] in "_@")):
