@@ -78,6 +78,17 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     return Code(spark, d).resolved().select(G, "path", "target_module", "line_number", "dependency_type", "resolution_status", F.coalesce("target_path", F.lit("")).alias("target_path"), "resolution_note")
 
 
+def dependency_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Imports that stay within their repository, with both files, by a search over their paths and modules."""
+    from quarry.operators import listings
+
+    c = Code(spark, d)
+    f = c.files.select(G, "id", "path")
+    r = c.resolved().join(f.withColumnRenamed("id", "source_file_id"), [G, "path"]).join(f.select(G, F.col("id").alias("target_file_id"), F.col("path").alias("target_path")), [G, "target_path"], "left")
+    rows = listings.dependencies(r.drop("path", "target_path"), f, search="s")
+    return rows.select(G, "source_path", "target_path", "target_module", "line_number", "resolution_status", "dependency_type")
+
+
 def import_degrees(spark: SparkSession, d: str) -> DataFrame:
     c = Code(spark, d)
     return graph.degrees(c.files.select(G, F.col("path").alias("node")), c.edges(), G)
@@ -153,7 +164,7 @@ def json_reports(spark: SparkSession, d: str) -> DataFrame:
 CODE = {
     f.__name__: f
     for f in (
-        parsed_files, code_symbols, symbol_kinds, function_figures, function_matches, file_figures, top_flags, repository_figures, resolved_imports, import_degrees, import_cycles, code_clones, diagnostics, health_scores, recommendations, code_gate,
+        parsed_files, code_symbols, symbol_kinds, function_figures, function_matches, file_figures, top_flags, repository_figures, resolved_imports, dependency_listing, import_degrees, import_cycles, code_clones, diagnostics, health_scores, recommendations, code_gate,
         markdown_reports, json_reports,
     )
 }

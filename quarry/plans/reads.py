@@ -118,6 +118,42 @@ def hotspot_ranking(spark: SparkSession, d: str) -> DataFrame:
     return S.rank_hotspots(scored_files(spark, d), G).select(G, "rank", "file_path", "complexity_risk", "architectural_centrality", "issue_severity_burden", "hotspot_score")
 
 
+FILE_SORTS = {"score": "hotspot_score", "sloc": "sloc", "complexity": "max_cyclomatic_complexity", "fan_in": "fan_in", "path": "file_path"}
+
+
+def file_metric_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of complex files, by complexity."""
+    rows = scored_files(spark, d).filter((F.col("max_cyclomatic_complexity") >= 10) & (F.col("issues_count") > 0))
+    order = [listings.sorted_by(FILE_SORTS, "complexity", "desc"), F.col("sloc").desc_nulls_last(), F.col(G), F.col("file_path")]
+    return listings.page(rows, order, 50, 50).select(G, "file_path", "sloc", "max_cyclomatic_complexity")
+
+
+def churn_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = churn.churn_by_file(numstat(spark, d))
+    return listings.page(rows, [F.desc("churn_score"), F.desc("commit_count"), F.asc("path")], 0, 100).select("path", "churn_score", "commit_count")
+
+
+def score_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Runs in order with the change of their hygiene score since the run before and since the first."""
+    w = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("completed_at").desc_nulls_last(), F.col("status").desc_nulls_last(), F.col("repository_id").desc_nulls_last())
+    jobs = table(spark, d, "analysis_jobs").withColumn("n", F.row_number().over(w)).filter("n = 1")
+    scores = issue_debt(spark, d).select(G, F.col("hygiene_score").alias("overall_score"))
+    return gates.timeline(jobs, scores).select("repository_id", "id", "position", "overall_score", F.coalesce("delta", F.lit(0.0)).alias("delta"), "since_first")
+
+
+def repository_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Known repositories and submitted ones: every second owner's again, and a fork of each."""
+    known = table(spark, d, "repositories").select("url", "owner", "name")
+    sent = known.unionByName(known.withColumns({"url": F.concat("url", F.lit("-fork")), "name": F.concat("name", F.lit("-fork"))}))
+    return listings.upsert_repositories(known, sent)
+
+
+def event_messages(spark: SparkSession, d: str) -> DataFrame:
+    from quarry.streaming.progress import events_json
+
+    return events_json(table(spark, d, "events").select("user_id", F.col("event_type").alias("event"), "event_id"), "user_id")
+
+
 def duplicated_lines(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "code_duplicates").withColumns({c: clean_path(F.col(c)) for c in ("source_file_path", "target_file_path")})
     return clones.covered_lines(t, G)
@@ -277,7 +313,7 @@ CORE = {
     f.__name__: f
     for f in (
         url_validation, discovered_files, language_shares, job_status, stale_jobs, cancel_outcomes, symbol_search, symbol_page, issue_search, issue_page, issue_summary, top_rules, issue_fingerprints, issue_lifecycle, merge_verdicts, timeline,
-        hotspot_ranking, duplicated_lines, duplication_scores, duplicate_listing, clone_containment, issue_debt, quality_gate, churn_by_file, defect_scores, numstat_parsed, fan_in_out, graph_summary, top_fan_in, graph_view, elementary_cycles, cycle_membership,
+        hotspot_ranking, file_metric_page, churn_page, score_timeline, repository_upsert, event_messages, duplicated_lines, duplication_scores, duplicate_listing, clone_containment, issue_debt, quality_gate, churn_by_file, defect_scores, numstat_parsed, fan_in_out, graph_summary, top_fan_in, graph_view, elementary_cycles, cycle_membership,
         cycle_edges, impact_dependents, impact_dependencies, folder_rollup, treemap_layout, treemap_means, sarif_rows, sarif_documents, version_mentions, redacted_messages,
     )
 }

@@ -150,4 +150,14 @@ select analysis_id, case when list_contains(m, 'overall_score') or list_contains
 w as (select analysis_id, sum(lines) al, sum(files) af from p group by 1)
 select analysis_id, "language", lines, files, round(case when al > 0 then lines / al::double else files / af::double end * 100, 1) "share" from p join w using (analysis_id) where lines > 0 or al = 0""",
 }
+SQL |= {
+    "file_metric_page": f"""select analysis_id, p file_path, sloc, max_cyclomatic_complexity from {_SCORED} where max_cyclomatic_complexity >= 10 and issues_count > 0
+  order by max_cyclomatic_complexity desc nulls last, sloc desc nulls last, analysis_id, p limit 50 offset 50""",
+    "churn_page": f"select path, churn_score, commit_count from ({SQL['churn_by_file']}) order by churn_score desc, commit_count desc, path limit 100",
+    "score_timeline": f"""with {_FIG}, j as (select j.repository_id, j.id, coalesce(hygiene_score, 100.0) overall_score, commit_date, created_at from {_JOBS} j left join y on y.analysis_id = j.id where status = 'completed')
+select repository_id, id, cast(row_number() over w as int) "position", overall_score, coalesce(round(overall_score - lag(overall_score) over w, 1), 0.0) delta, round(overall_score - first_value(overall_score) over w, 1) since_first
+from j window w as (partition by repository_id order by commit_date nulls last, created_at nulls last, id)""",
+    "repository_upsert": "select url, owner, name from repositories union select url || '-fork', owner, name || '-fork' from repositories",
+    "event_messages": """select cast(user_id as varchar) as "key", '{"event":"' || event_type || '","data":{"event_id":' || event_id || '}}' as "value" from events""",
+}
 _ = strip
