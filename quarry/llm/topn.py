@@ -27,7 +27,7 @@ from quarry.scratch import Scratch
 #: Midpoints per round: 2^8 sections refine an interval as eight rounds of plain halving would.
 SECTIONS = 256
 #: Rows of the cut table (one per open group, under 150 bytes each) up to which it is broadcast, after a count.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 5_000
 #: Bytes of the identifier in one code.
 CHUNK = 6
 
