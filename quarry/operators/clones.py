@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.lexing import tokens_of
 from quarry.scratch import Scratch
+from quarry.session import spread
 
 #: Tokens in a window, lines of a clone, occurrences of a window that are paired, pairs that are listed per group.
 WINDOW, LINES, BUCKET, PAIRS = 40, 10, 100, 10_000
@@ -39,7 +40,7 @@ def token_table(files: DataFrame, group: str, path: str, content: str) -> DataFr
             kinds = [batch.schema.field(group).type, pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[group, "path", "normal", "raw", "line", "hashes"])
 
-    return files.select(group, path, content).filter(F.col(content).isNotNull()).mapInArrow(run, schema)
+    return spread(files.select(group, path, content).filter(F.col(content).isNotNull())).mapInArrow(run, schema)
 
 
 def _windows(tokens: list[str]) -> np.ndarray:
@@ -73,6 +74,7 @@ def find_clones(tokens: DataFrame, group: str, bucket: int | None = BUCKET, pair
     runs = (
         seeds.withColumn("island", F.col("pos") - F.row_number().over(line)).groupBy(group, "path", "path2", "shift", "island")
         .agg(F.min("pos").alias("a"), (F.count("*") + WINDOW - 1).cast("int").alias("token_count"))
+        .filter("path <> path2 or shift >= token_count")  # a block that reaches into its own copy never counts
     )
     left = tokens.select(group, "path", F.col("normal").alias("na"), F.col("raw").alias("ra"), F.col("line").alias("la"))
     right = tokens.select(group, F.col("path").alias("path2"), F.col("normal").alias("nb"), F.col("raw").alias("rb"), F.col("line").alias("lb"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.parse import ecma_source, python_source
+from quarry.session import spread
 from quarry.sources.discovery import language_of
 
 #: Parsers by language; more can be registered.
@@ -46,7 +47,7 @@ def parse_files(files: DataFrame, keys: list[str], path: str = "path", content:
             yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(columns)], schema=arrow)
 
     chosen = files.select(*keys, F.col(path).alias("path"), F.col(content).alias("content"), language_of(F.col(path)).alias("language"))
-    return chosen.mapInArrow(run, schema)
+    return spread(chosen).mapInArrow(run, schema)
 
 
 def explode_parts(parsed: DataFrame, keys: list[str], part: str) -> DataFrame:

@@ -24,3 +24,12 @@ def build(app: str = "quarry", cpus: int | None = None, memory: str = "6g") -> S
     spark = SparkSession.builder.appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df):
+    """``df`` with at least as many partitions as the cluster has cores, for work that costs far more than moving its rows.
+
+    A scan of few row groups would leave cores idle; larger inputs come in enough partitions and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
