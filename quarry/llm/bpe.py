@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.session import spread
+
 #: Words remembered per Python worker, and the longest that are.
 MEMO_WORDS, MEMO_LENGTH = 200_000, 40
 #: Characters of text handled as one block.
@@ -248,4 +250,4 @@ def encode_column(df: DataFrame, text: str, out: str = "ids", vocabulary: str |
                 start += len(ids)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], value], names=[*rest, out])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

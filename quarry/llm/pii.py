@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import spread
+
 KINDS = ("email", "address", "id_number", "phone", "name")
 
 # Common given names of the languages covered.
@@ -445,7 +447,7 @@ def scan(df: DataFrame, key: str, text: str, redacted: bool = True) -> DataFrame
             columns = [batch.column(key), pa.array(found, kind), *([pa.array(texts, pa.string())] if redacted else [])]
             yield pa.RecordBatch.from_arrays(columns, names=[c.name for c in fields])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def find(df: DataFrame, key: str, text: str) -> DataFrame:
