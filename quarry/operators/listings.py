@@ -54,11 +54,9 @@ ISSUE_ORDER = ["severity_rank", "rule_id", "created_at", "id"]
 
 def issue_summary(rows: DataFrame, group: str) -> DataFrame:
     """Counts and minutes by severity, by category and overall, in one pass (grouping sets)."""
-    rows.createOrReplaceTempView("quarry_issue_summary")
-    return rows.sparkSession.sql(
-        f"""select {group}, severity, category, count(*) issues, cast(coalesce(sum(remediation_effort_minutes), 0) as bigint) minutes, cast(grouping(severity) * 2 + grouping(category) as int) level
-        from quarry_issue_summary group by grouping sets (({group}, severity), ({group}, category), ({group}))"""
-    )
+    g, sev, cat = F.col(group), F.col("severity"), F.col("category")
+    level = (F.grouping("severity").cast("int") * 2 + F.grouping("category").cast("int")).alias("level")
+    return rows.groupingSets([[g, sev], [g, cat], [g]], g, sev, cat).agg(F.count("*").alias("issues"), F.coalesce(F.sum("remediation_effort_minutes"), F.lit(0)).cast("long").alias("minutes"), level)
 
 
 def top_rules(rows: DataFrame, group: str, k: int = 10) -> DataFrame:

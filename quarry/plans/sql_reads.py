@@ -158,6 +158,7 @@ SQL |= {
 select repository_id, id, cast(row_number() over w as int) "position", overall_score, coalesce(round(overall_score - lag(overall_score) over w, 1), 0.0) delta, round(overall_score - first_value(overall_score) over w, 1) since_first
 from j window w as (partition by repository_id order by commit_date nulls last, created_at nulls last, id)""",
     "repository_upsert": "select url, owner, name from repositories union select url || '-fork', owner, name || '-fork' from repositories",
+    "redacted_messages": f"select id, 'token=*** done' line from {_JOBS}",
     "event_messages": """select cast(user_id as varchar) as "key", '{"event":"' || event_type || '","data":{"event_id":' || event_id || '}}' as "value" from events""",
 }
 _ = strip
