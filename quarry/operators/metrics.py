@@ -71,7 +71,6 @@ def file_flags(metrics: DataFrame) -> DataFrame:
 def repository_summary(metrics: DataFrame, group: str) -> DataFrame:
     """One row per group: totals, means, maxima, complexity classes, mean maintainability and its rating."""
     calculated = F.col("metric_status") == "calculated"
-    cc = F.flatten(F.collect_list(F.transform("functions", lambda f: f["cyclomatic_complexity"])))  # noqa: F841
     per = metrics.select(group, "path", "total_lines", "sloc", "metric_status", "maintainability_score", "max_nesting_depth", "max_cyclomatic_complexity", "function_count", "total_cyclomatic_complexity", F.expr("aggregate(functions, 0, (a, x) -> a + x.lines_of_code)").alias("loc"), F.expr("aggregate(functions, 0, (a, x) -> a + x.nesting_depth)").alias("nest"), *[F.expr(f"size(filter(functions, x -> {rule}))").alias(name) for name, rule in CC_CLASSES.items()])
     n = F.sum("function_count")
     mi = F.coalesce(F.round(F.avg(F.when(calculated, F.col("maintainability_score"))), 2), F.lit(100.0))

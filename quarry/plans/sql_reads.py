@@ -1,6 +1,6 @@
 """The stored-table queries in SQL."""
 
-from quarry.plans.sql_core import clean, strip
+from quarry.plans.sql_core import clean
 from quarry.sources.discovery import IGNORED_FOLDERS, IGNORED_SUFFIXES, LANGUAGE_NAMES, LANGUAGE_SUFFIXES
 
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -161,4 +161,3 @@ from j window w as (partition by repository_id order by commit_date nulls last,
     "redacted_messages": f"select id, 'token=*** done' line from {_JOBS}",
     "event_messages": """select cast(user_id as varchar) as "key", '{"event":"' || event_type || '","data":{"event_id":' || event_id || '}}' as "value" from events""",
 }
-_ = strip
