@@ -134,21 +134,27 @@ def _cycles(pending: DataFrame, nodes: DataFrame, count: int, scratch: Scratch)
     return state.select("id", "ptr").join(F.broadcast(low) if small else low, "ptr").select("id", "root_id")
 
 
-def descendants(rows: DataFrame, id_: Column, parent: Column, order: Sequence[Column]) -> DataFrame:
-    """ancestor_id, descendant_id, distance (1 and more) for all nodes of acyclic trees.
+def descendants(rows: DataFrame, id_: Column, parent: Column, order: Sequence[Column], cyclic: bool = False) -> DataFrame:
+    """ancestor_id, descendant_id, distance (1 and more) for all nodes of acyclic trees and, with ``cyclic``, of all others.
 
     Doubling of reach: pairs up to distance 2^k, joined with jumps of exactly 2^k, give the pairs up to 2^(k+1), so
-    every pair is made once. Nodes on or below cycles have no rows here: they have no finite set of ancestors.
+    every pair is made once. With ``cyclic`` the one link that leads out of the smallest id of each cycle is cut, which
+    leaves a tree below that id; the pairs that go through the cut link are added in the end. A node of a cycle is then an
+    ancestor of every other node on and below the cycle, at the least distance, and never of itself.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "descendants")
-    tree = scratch.write(resolve(rows, id_, parent, order).filter("tree_depth >= 0").select(F.col("symbol_id").alias("id"), "tree_depth"))
+    solved = resolve(rows, id_, parent, order)
+    if not cyclic:
+        solved = solved.filter("tree_depth >= 0")
+    tree = scratch.write(solved.select(F.col("symbol_id").alias("id"), "root_id", "tree_depth"))
     value = F.struct(F.lower(parent).alias("parent"))
     links = (
         rows.groupBy(F.lower(id_).alias("id")).agg(F.max_by(value, F.struct(*order, F.lower(parent))).alias("v"))
-        .select("id", "v.parent").join(tree.filter("tree_depth > 0"), "id")
+        .select("id", "v.parent").join(tree.filter("tree_depth <> 0"), "id")
     )
-    pairs = scratch.write(links.select(F.col("parent").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(1).alias("distance")))
+    uncut = links.filter("tree_depth > 0 or id <> root_id")
+    pairs = scratch.write(uncut.select(F.col("parent").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(1).alias("distance")))
     parts, jump, step = [pairs], pairs.select(F.col("ancestor_id").alias("a"), F.col("descendant_id").alias("d")), 1
     while True:
         reach = parts[0]
@@ -166,4 +172,15 @@ def descendants(rows: DataFrame, id_: Column, parent: Column, order: Sequence[Co
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if not cyclic:
+        return out
+    looped = tree.filter("tree_depth < 0").select("id", "root_id")
+    below = looped.join(out, (looped["id"] == out["descendant_id"]) & (looped["root_id"] == out["ancestor_id"]), "left").select("id", "root_id", F.coalesce("distance", F.lit(0)).alias("depth"))
+    below = scratch.write(below)
+    # the cycle: from the parent of its smallest id, where the cut link ends, up to the smallest id
+    ends = links.filter("tree_depth < 0 and id = root_id").select("root_id", F.col("parent").alias("end"))
+    up = out.join(ends, out["descendant_id"] == ends["end"]).select("root_id", F.col("ancestor_id").alias("id")).unionByName(ends.select("root_id", F.col("end").alias("id")))
+    ring = up.join(below, ["root_id", "id"]).select("root_id", F.col("id").alias("ancestor_id"), F.col("depth").alias("at"))
+    ring = ring.join(ring.groupBy("root_id").agg(F.count("*").alias("length")), "root_id")
+    through = below.join(ring, "root_id").filter("id <> ancestor_id").select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") + F.col("length") - F.col("at")).cast("int").alias("distance"))
+    return out.unionByName(through.join(out.select("ancestor_id", "descendant_id"), ["ancestor_id", "descendant_id"], "left_anti"))

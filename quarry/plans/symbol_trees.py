@@ -22,3 +22,8 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_symbols(spark, d), F.col("id"), F.col("parent_symbol_id"), [F.col("created_at")])
+
+
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of ``p2_descendants`` and those on and below cycles."""
+    return descendants(_symbols(spark, d), F.col("id"), F.col("parent_symbol_id"), [F.col("created_at")], cyclic=True)

@@ -64,3 +64,19 @@ def test_descendants(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted(map(tuple, descendants(df, F.col("id"), F.col("up"), [F.col("at")]).collect()))
     assert got == sorted([("a", "b", 1), ("a", "e", 1), ("a", "c", 2), ("a", "d", 3), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)])
+
+
+def test_descendants_on_and_below_cycles(spark):
+    rnd = random.Random(5)
+    rows = [(f"n{i}", f"N{rnd.randint(max(0, i - 4), i)}" if rnd.random() < 0.85 else rnd.choice([None, "", "gone"]), "", T0, 1, "") for i in range(60)]
+    rows += [(f"c{i}", f"C{(i + 3) % 7}", "c", T0, 1, "") for i in range(7)] + [("t1", "c3", "t", T0, 1, ""), ("t2", "T1", "t", T0, 1, ""), ("t3", "t2", "t", T0, 1, ""), ("x", "y", "", T0, 1, ""), ("y", "x", "", T0, 1, "")]
+    up = {i.lower(): (u or "").lower() for i, u, *_ in rows}
+    want = []
+    for node in up:
+        seen, at = [node], up[node]
+        while at in up and at not in seen:
+            want.append((at, node, len(seen)))
+            seen.append(at)
+            at = up[at]
+    got = descendants(spark.createDataFrame(rows, SCHEMA), F.col("id"), F.col("up"), [F.col("at")], cyclic=True)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
