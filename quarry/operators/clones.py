@@ -1,8 +1,9 @@
 """Clone detection: maximal runs of equal normalised tokens between files of a group.
 
 Every window of ``WINDOW`` tokens gets a hash; equal windows of different places are seeds. Seeds on one diagonal
-(same pair of files, same offset) that follow each other make a run: gaps and islands, no expansion loop. A run's
-tokens are compared exactly in the end, so hash values never decide.
+(same pair of files, same offset) that follow each other make a run. Only the seeds that no seed precedes or follows on
+their diagonal are kept, so what is shuffled grows with the runs and not with their lengths. A run's tokens are compared
+exactly in the end, so hash values never decide. All occurrences of a window are paired and all pairs are given.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from quarry.functions.lexing import tokens_of
 from quarry.scratch import Scratch
 from quarry.session import spread
 
-#: Tokens in a window, lines of a clone, occurrences of a window that are paired, pairs that are listed per group.
-WINDOW, LINES, BUCKET, PAIRS = 40, 10, 100, 10_000
+#: Tokens in a window, lines of a clone.
+WINDOW, LINES = 40, 10
 SNIPPET_LINES = 50
 
 
@@ -55,25 +56,23 @@ def _windows(tokens: list[str]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def find_clones(tokens: DataFrame, group: str, bucket: int | None = BUCKET, pairs: int | None = PAIRS) -> DataFrame:
-    """Pairs of equal blocks: clone_type (1 same text, 2 same structure), both line ranges, counts, checksum.
-
-    Of a window that occurs more often than ``bucket`` times in a group the first occurrences (by path and place) are
-    paired; ``pairs`` are listed per group, longest first. Null for either means all.
-    """
+def find_clones(tokens: DataFrame, group: str) -> DataFrame:
+    """All pairs of equal blocks: clone_type (1 same text, 2 same structure), both line ranges, counts, checksum."""
     scratch = Scratch(tokens.sparkSession, "clones")
     tokens = scratch.write(tokens)
-    spots = tokens.select(group, "path", F.posexplode("hashes").alias("pos", "h"))
-    order = Window.partitionBy(group, "h").orderBy("path", "pos")
-    ranked = spots.withColumn("n", F.row_number().over(order))
-    if bucket is not None:
-        ranked = ranked.filter(F.col("n") <= bucket)
-    again = ranked.select(group, "h", F.col("path").alias("path2"), F.col("pos").alias("pos2"), F.col("n").alias("n2"))
-    seeds = ranked.join(again, [group, "h"]).filter("n < n2").withColumn("shift", F.col("pos2") - F.col("pos"))
+    around = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i + 1).alias("after")))
+    spots = tokens.select(group, "path", F.posexplode(around).alias("pos", "w")).select(group, "path", "pos", "w.*")
+    again = spots.select(group, "h", F.col("path").alias("path2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"), F.col("after").alias("after2"))
+    later = (F.col("path") < F.col("path2")) | ((F.col("path") == F.col("path2")) & (F.col("pos") < F.col("pos2")))
+    edge = lambda c: ~F.coalesce(F.col(c) == F.col(f"{c}2"), F.lit(False))
+    ends = (
+        spots.join(again, [group, "h"]).filter(later & (edge("before") | edge("after")))
+        .select(group, "path", "path2", (F.col("pos2") - F.col("pos")).alias("shift"), "pos", edge("before").alias("opens"), edge("after").alias("closes"))
+    )
     line = Window.partitionBy(group, "path", "path2", "shift").orderBy("pos")
     runs = (
-        seeds.withColumn("island", F.col("pos") - F.row_number().over(line)).groupBy(group, "path", "path2", "shift", "island")
-        .agg(F.min("pos").alias("a"), (F.count("*") + WINDOW - 1).cast("int").alias("token_count"))
+        ends.withColumn("last", F.when(F.col("closes"), F.col("pos")).otherwise(F.lead("pos").over(line))).filter("opens")
+        .select(group, "path", "path2", "shift", F.col("pos").alias("a"), (F.col("last") - F.col("pos") + WINDOW).cast("int").alias("token_count"))
         .filter("path <> path2 or shift >= token_count")  # a block that reaches into its own copy never counts
     )
     left = tokens.select(group, "path", F.col("normal").alias("na"), F.col("raw").alias("ra"), F.col("line").alias("la"))
@@ -88,13 +87,9 @@ def find_clones(tokens: DataFrame, group: str, bucket: int | None = BUCKET, pair
     )
     span = lambda s: F.col(f"{s}_end_line") - F.col(f"{s}_start_line") + 1
     sized = blocks.withColumn("line_count", F.greatest(span("source"), span("target"))).filter((F.col("line_count") >= LINES) & ((F.col("source_file_path") != F.col("target_file_path")) | (F.col("target_start_line") > F.col("source_end_line"))))
-    same = Window.partitionBy(group, "source_file_path", "source_start_line", "target_file_path", "target_start_line").orderBy(F.desc("token_count"), "seed")
+    same = Window.partitionBy(group, "source_file_path", "source_start_line", "target_file_path", "target_start_line").orderBy(F.desc("token_count"), F.desc("line_count"), "clone_type", "seed")
     once = sized.withColumn("k", F.row_number().over(same)).filter("k = 1").drop("k", "seed")
-    kept = drop_contained(once, group)
-    if pairs is not None:
-        w = Window.partitionBy(group).orderBy(F.desc("line_count"), "source_file_path", "source_start_line", "target_file_path", "target_start_line")
-        kept = kept.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= pairs).drop("k")
-    return kept
+    return drop_contained(once, group)
 
 
 def drop_contained(blocks: DataFrame, group: str) -> DataFrame:

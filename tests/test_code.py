@@ -192,6 +192,13 @@ def test_clones(spark):
     assert all(r["grp"] == "g" for r in got) and not any("d.py" in (r["source_file_path"], r["target_file_path"]) for r in got)
 
 
+def test_clones_of_a_window_with_many_occurrences(spark):
+    rows = [("g", f"f{i:03}.py", f"x_{i} = 1\ndef f(value):\n{BODY}") for i in range(150)]
+    got = clones.find_clones(clones.token_table(spark.createDataFrame(rows, "grp string, path string, content string"), "grp", "path", "content"), "grp")
+    assert got.count() == 150 * 149 // 2
+    assert clones.covered_lines(got, "grp").count() == 150
+
+
 def test_numstat(spark):
     z = "\0"
     log = f"COMMIT{z}h1{z}Alice{z}\n10{'\t'}2{'\t'}main.py{z}5{'\t'}1{'\t'}utils.py{z}COMMIT{z}h2{z}Bob{z}\n5{'\t'}4{'\t'}main.py{z}-{'\t'}-{'\t'}./logo.png{z}3{'\t'}0{'\t'}{z}old.py{z}new.py{z}"
