@@ -38,6 +38,18 @@ def log_path(path: Column) -> Column:
     return F.ltrim(F.translate(path, "\\", "/"), F.lit("./"))
 
 
+def churn_summary(by_file: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Files with changes, max_churn and has_git_history of every group in ``groups``; without changes 0, 0.0 and false."""
+    per = by_file.groupBy(group).agg(F.count("*").alias("files"), F.max("churn_score").alias("max_churn"))
+    out = groups.select(group).distinct().join(per, group, "left")
+    return out.select(group, F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("max_churn", F.lit(0.0)).alias("max_churn"), F.col("files").isNotNull().alias("has_git_history"))
+
+
+def with_history(rows: DataFrame, by_file: DataFrame, group: str) -> DataFrame:
+    """``rows`` with has_git_history of their group."""
+    return rows.join(churn_summary(by_file, rows, group).select(group, "has_git_history"), group)
+
+
 def churn_by_file(rows: DataFrame, group: str | None = None) -> DataFrame:
     """Commits, authors, lines and churn score per path (and group)."""
     keys = [*([group] if group else []), "path"]

@@ -9,16 +9,15 @@ exactly in the end, so hash values never decide. All occurrences of a window are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.lexing import tokens_of
-from quarry.scratch import Scratch
 from quarry.session import spread
 
 #: Tokens in a window, lines of a clone.
@@ -26,22 +25,24 @@ WINDOW, LINES = 40, 10
 SNIPPET_LINES = 50
 
 
-def token_table(files: DataFrame, group: str, path: str, content: str) -> DataFrame:
-    """group, path, normal and raw (arrays of texts), line (array); one row per file with at least WINDOW tokens."""
-    schema = T.StructType([files.schema[group], T.StructField("path", T.StringType()), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("normal", "raw")], T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
+def token_table(files: DataFrame, group: str, path: str, content: str, keys: Sequence[str] = ()) -> DataFrame:
+    """group, path, ``keys``, normal and raw (arrays of texts), line (array); one row per file. Under WINDOW tokens the arrays are empty."""
+    schema = T.StructType([files.schema[group], T.StructField("path", T.StringType()), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("normal", "raw")], T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.ArrayType(T.LongType())), *[files.schema[k] for k in keys]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for g, p, t in zip(*(batch.column(c).to_pylist() for c in (group, path, content))):
+            for p, t in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist()):
                 tokens = tokens_of(p or "", t.replace("\r\n", "\n")) if t else []
-                if len(tokens) >= WINDOW:
-                    rows.append((g, p, [x.normal for x in tokens], [x.text for x in tokens], [x.line for x in tokens], _windows([x.normal for x in tokens])))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = [batch.schema.field(group).type, pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[group, "path", "normal", "raw", "line", "hashes"])
+                if len(tokens) < WINDOW:
+                    tokens = []
+                rows.append(([x.normal for x in tokens], [x.text for x in tokens], [x.line for x in tokens], _windows([x.normal for x in tokens]) if tokens else []))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            arrays = [batch.column(group), batch.column(path), *[pa.array(c, k) for c, k in zip(columns, kinds)], *[batch.column(k) for k in keys]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[group, "path", "normal", "raw", "line", "hashes", *keys])
 
-    return spread(files.select(group, path, content).filter(F.col(content).isNotNull())).mapInArrow(run, schema)
+    return spread(files.select(group, path, content, *keys)).mapInArrow(run, schema)
 
 
 def _windows(tokens: list[str]) -> np.ndarray:
@@ -58,8 +59,7 @@ def _windows(tokens: list[str]) -> np.ndarray:
 
 def find_clones(tokens: DataFrame, group: str) -> DataFrame:
     """All pairs of equal blocks: clone_type (1 same text, 2 same structure), both line ranges, counts, checksum."""
-    scratch = Scratch(tokens.sparkSession, "clones")
-    tokens = scratch.write(tokens)
+    tokens = tokens.filter(F.size("hashes") > 0)
     around = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.get("hashes", i - 1).alias("before"), F.get("hashes", i + 1).alias("after")))
     spots = tokens.select(group, "path", F.posexplode(around).alias("pos", "w")).select(group, "path", "pos", "w.*")
     again = spots.select(group, "h", F.col("path").alias("path2"), F.col("pos").alias("pos2"), F.col("before").alias("before2"), F.col("after").alias("after2"))
@@ -75,15 +75,21 @@ def find_clones(tokens: DataFrame, group: str) -> DataFrame:
         .select(group, "path", "path2", "shift", F.col("pos").alias("a"), (F.col("last") - F.col("pos") + WINDOW).cast("int").alias("token_count"))
         .filter("path <> path2 or shift >= token_count")  # a block that reaches into its own copy never counts
     )
-    left = tokens.select(group, "path", F.col("normal").alias("na"), F.col("raw").alias("ra"), F.col("line").alias("la"))
-    right = tokens.select(group, F.col("path").alias("path2"), F.col("normal").alias("nb"), F.col("raw").alias("rb"), F.col("line").alias("lb"))
-    cut = lambda c, at: F.slice(c, (at + 1).cast("int"), F.col("token_count"))
-    b = F.col("a") + F.col("shift")
-    full = runs.join(left, [group, "path"]).join(right, [group, "path2"]).filter(cut("na", F.col("a")) == cut("nb", b))
+    # each side's lines and digests are taken where its tokens lie, so that no token array is shuffled with a run
     last = F.col("token_count") - 1
-    blocks = full.select(
-        group, F.when(cut("ra", F.col("a")) == cut("rb", b), 1).otherwise(2).alias("clone_type"), F.col("path").alias("source_file_path"), F.get("la", F.col("a")).alias("source_start_line"), F.get("la", (F.col("a") + last).cast("int")).alias("source_end_line"),
-        F.col("path2").alias("target_file_path"), F.get("lb", b.cast("int")).alias("target_start_line"), F.get("lb", (b + last).cast("int")).alias("target_end_line"), "token_count", F.sha2(F.array_join(cut("na", F.col("a")), ""), 256).alias("checksum"), F.col("a").alias("seed"),
+    cut = lambda c, at: F.slice(c, (at + 1).cast("int"), F.col("token_count"))
+    digest = lambda c, at: F.sha2(F.array_join(cut(c, at), "\u0001"), 256)
+
+    def sided(rows: DataFrame, path: str, at: Column, name: str) -> DataFrame:
+        mine = tokens.select(group, F.col("path").alias(path), "normal", "raw", "line")
+        return rows.join(mine, [group, path]).withColumns(
+            {f"{name}_start_line": F.get("line", at.cast("int")), f"{name}_end_line": F.get("line", (at + last).cast("int")), f"{name}_digest": digest("normal", at), f"{name}_raw": digest("raw", at)}
+        ).drop("normal", "raw", "line")
+
+    both = sided(sided(runs, "path", F.col("a"), "source"), "path2", F.col("a") + F.col("shift"), "target").filter("source_digest = target_digest")
+    blocks = both.select(
+        group, F.when(F.col("source_raw") == F.col("target_raw"), 1).otherwise(2).alias("clone_type"), F.col("path").alias("source_file_path"), "source_start_line", "source_end_line",
+        F.col("path2").alias("target_file_path"), "target_start_line", "target_end_line", "token_count", F.col("source_digest").alias("checksum"), F.col("a").alias("seed"),
     )
     span = lambda s: F.col(f"{s}_end_line") - F.col(f"{s}_start_line") + 1
     sized = blocks.withColumn("line_count", F.greatest(span("source"), span("target"))).filter((F.col("line_count") >= LINES) & ((F.col("source_file_path") != F.col("target_file_path")) | (F.col("target_start_line") > F.col("source_end_line"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import blank_to_null, clean_path
+from quarry.functions.text import blank_to_null, strip
 
 #: Threshold and whether a miss fails the gate or warns.
 CONDITIONS = {
@@ -33,10 +33,15 @@ def quality_gate(figures: DataFrame, thresholds: dict[str, float] | None = None)
 
 
 def fingerprint(rule: Column, path: Column, symbol: Column, metadata: Column) -> Column:
-    """SHA-256 over rule, path and scope: the symbol, or the target named in the metadata, or ``file``."""
-    target = blank_to_null(F.get_json_object(metadata, "$.target_identifier"))
-    scope = F.coalesce(blank_to_null(F.trim(symbol)), target, F.lit("file"))
-    return F.sha2(F.concat_ws(":", F.trim(rule), clean_path(path), scope), 256)
+    """SHA-256 over rule, path and scope; null parts are empty.
+
+    The scope is the symbol, or the target named in the metadata, or the place of the other copy named there, or ``file``.
+    """
+    said = lambda k: F.get_json_object(metadata, f"$.{k}")
+    copy = F.concat_ws("_", F.lit("dup"), said("target_file_path"), *[F.coalesce(said(k), F.lit("None")) for k in ("target_start_line", "target_end_line")])
+    scope = F.coalesce(blank_to_null(strip(symbol)), F.when(said("target_identifier") != "", strip(said("target_identifier"))), F.when(said("target_file_path") != "", copy), F.lit("file"))
+    place = strip(F.regexp_replace(F.translate(F.coalesce(path, F.lit("")), "\\", "/"), r"^[./]+", ""))
+    return F.sha2(F.concat(strip(F.coalesce(rule, F.lit(""))), F.lit(":"), place, F.lit(":"), scope), 256)
 
 
 def issue_lifecycle(base: DataFrame, head: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -58,6 +63,36 @@ def cycle_lifecycle(base: DataFrame, head: DataFrame, nodes: str = "nodes") -> D
     return issue_lifecycle(one(base), one(head), "cycle")
 
 
+def lifecycle_of_pairs(pairs: DataFrame, rows: DataFrame, group: str, key: str) -> DataFrame:
+    """head_id, ``key``, lifecycle for all pairs of runs (head_id, base_id) in one full join."""
+    r = rows.select(group, key).distinct()
+    head = r.join(pairs, F.col(group) == F.col("head_id")).select("head_id", key, F.lit(True).alias("in_head"))
+    base = r.join(pairs, F.col(group) == F.col("base_id")).select("head_id", key, F.lit(True).alias("in_base"))
+    state = F.when(F.col("in_base").isNull(), "new").when(F.col("in_head").isNull(), "fixed").otherwise("persistent")
+    return base.join(head, ["head_id", key], "full").select("head_id", key, state.alias("lifecycle"))
+
+
+def score_deltas(pairs: DataFrame, scores: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """head_id, base_id and, per name in ``columns``, head minus base rounded to one decimal; a run without scores counts
+    100 of a score and 0 of minutes."""
+    missing = lambda c: F.lit(0 if c.endswith("minutes") else 100.0)
+    side = lambda s: scores.select(F.col("analysis_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns.values()])
+    both = pairs.select("head_id", "base_id").join(side("head"), "head_id", "left").join(side("base"), "base_id", "left")
+    delta = lambda c: F.coalesce(f"head_{c}", missing(c)) - F.coalesce(f"base_{c}", missing(c))
+    return both.select("head_id", "base_id", *[(delta(c) if c.endswith("minutes") else F.round(delta(c), 1)).alias(n) for n, c in columns.items()])
+
+
+def comparable(pairs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``pairs`` (head_id, base_id) with error: why the two are not compared, null where they are."""
+    side = lambda s: jobs.select(F.col("id").alias(f"{s}_id"), F.col("repository_id").alias(f"{s}_repository"), F.col("status").alias(f"{s}_status"))
+    both = pairs.join(side("head"), "head_id", "left").join(side("base"), "base_id", "left")
+    error = (
+        F.when(F.col("head_id") == F.col("base_id"), "same run").when(F.col("base_status").isNull(), "no base run").when(F.col("head_status").isNull(), "no head run")
+        .when(F.col("base_status") != "completed", "base run not completed").when(F.col("head_status") != "completed", "head run not completed").when(F.col("head_repository") != F.col("base_repository"), "other repository")
+    )
+    return both.withColumn("error", error)
+
+
 def merge_verdict(rows: DataFrame) -> DataFrame:
     """Needs score_delta, new_blockers, new_criticals, new_cycles: adds status and reasons."""
     d = F.col("score_delta")

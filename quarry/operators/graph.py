@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,53 +43,142 @@ def top_degree(degree: DataFrame, group: str, column: str, k: int = 10) -> DataF
     return degree.filter(F.col(column) > 0).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def trim_acyclic(edges: DataFrame, group: str, scratch: Scratch) -> DataFrame:
-    """Edges left when nodes that lack a way in or a way out are taken away, again and again; every cycle stays."""
-    now = scratch.write(edges.select(group, "src", "dst").distinct())
-    size = now.count()
-    while size:
-        ins, outs = now.select(group, F.col("dst").alias("src")).distinct(), now.select(group, F.col("src").alias("dst")).distinct()
-        new = scratch.write(now.join(ins, [group, "src"], "left_semi").join(outs, [group, "dst"], "left_semi").select(group, "src", "dst"))
-        left = new.count()
-        scratch.drop(now)
-        now = new
-        if left == size:
-            break
-        size = left
-    return now
+def _components(ahead: dict) -> dict:
+    """node -> its strongly connected component's least node (Tarjan, without recursion)."""
+    index, low, on, stack, out = {}, {}, set(), [], {}
+    for root in sorted(ahead):
+        if root in index:
+            continue
+        work = [(root, iter(ahead[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, targets = work[-1]
+            for t in targets:
+                if t not in index:
+                    index[t] = low[t] = len(index)
+                    stack.append(t)
+                    on.add(t)
+                    work.append((t, iter(ahead.get(t, ()))))
+                    break
+                if t in on:
+                    low[node] = min(low[node], index[t])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(stack.pop())
+                        on.discard(members[-1])
+                    least = min(members)
+                    out |= dict.fromkeys(members, least)
+    return out
+
+
+def _cycles(ahead: dict, max_length: int, limit: int | None) -> tuple[list[list], bool]:
+    """Cycles in order of their nodes, at most ``limit``; whether there are more.
+
+    From each node in order, paths over greater nodes of its component; a path goes on only while the way back (breadth
+    first, over nodes not smaller than the first) still fits the length. The search ends with the cycle after the last.
+    """
+    part = _components(ahead)
+    size = collections.Counter(part.values())
+    found: list[list] = []
+    for first in sorted(ahead):
+        home = part[first]
+        if size[home] == 1:
+            if first in ahead[first]:
+                found.append([first])
+        else:
+            inside = {n: [t for t in ts if part[t] == home and t >= first and t != n] for n, ts in ahead.items() if part[n] == home and n >= first}
+            before: dict = {}
+            for n, ts in inside.items():
+                for t in ts:
+                    before.setdefault(t, []).append(n)
+            back, queue = {first: 0}, collections.deque([first])
+            while queue:
+                n = queue.popleft()
+                for s in before.get(n, ()):
+                    if s not in back:
+                        back[s] = back[n] + 1
+                        queue.append(s)
+            path, seen, work = [first], {first}, [iter(inside.get(first, ()))]
+            while work:
+                for t in work[-1]:
+                    if t == first:
+                        found.append(list(path))
+                        if limit is not None and len(found) > limit:
+                            break
+                    elif t not in seen and len(path) + back.get(t, max_length) <= max_length:
+                        path.append(t)
+                        seen.add(t)
+                        work.append(iter(inside.get(t, ())))
+                        break
+                else:
+                    work.pop()
+                    seen.discard(path.pop())
+                    continue
+                if limit is not None and len(found) > limit:
+                    break
+        if limit is not None and len(found) > limit:
+            return found[:limit], True
+    return found, False
+
+
+def _per_group(edges: DataFrame, group: str, schema: str, rows: Callable[[dict], list[tuple]]) -> DataFrame:
+    """``rows`` of each group's graph. A group is one run's files, at most ``discovery.MAX_FILES``; edges come once."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ahead: dict = {}
+        for s, t in zip(part["src"], part["dst"]):
+            ahead.setdefault(s, set()).add(t)
+            ahead.setdefault(t, set())
+        key = part[group].iloc[0]
+        return pd.DataFrame([(key, *r) for r in rows({n: sorted(ts) for n, ts in ahead.items()})], columns=names)
+
+    kind = edges.schema["src"].dataType.simpleString()
+    full = f"{group} {edges.schema[group].dataType.simpleString()}, {schema.format(node=kind)}"
+    names = [c.split()[0] for c in full.split(", ")]
+    return edges.filter("src is not null and dst is not null").select(group, "src", "dst").distinct().groupBy(group).applyInPandas(run, full)
+
+
+def strong_components(edges: DataFrame, group: str) -> DataFrame:
+    """group, node, component (its least node), members, cyclic: strongly connected components of each group's graph.
+
+    Linear in a group's edges, however long its chains are. ``cyclic``: the component has a cycle (two members or a loop).
+    """
+
+    def rows(ahead: dict) -> list[tuple]:
+        part = _components(ahead)
+        size = collections.Counter(part.values())
+        return [(n, c, size[c], size[c] > 1 or n in ahead[n]) for n, c in part.items()]
+
+    return _per_group(edges, group, "node {node}, component {node}, members int, cyclic boolean", rows)
 
 
 def elementary_cycles(edges: DataFrame, group: str, max_length: int = MAX_CYCLE, limit: int | None = CYCLE_LIMIT) -> DataFrame:
-    """group, cycle_id, length, nodes: every simple directed cycle of up to ``max_length`` nodes, its least node first.
+    """group, cycle_id, length, nodes, cap_reached: simple directed cycles of up to ``max_length`` nodes, least node first.
 
-    Paths grow from their least node, so each cycle is met once. A loop counts (length 1) where its node lies on no
-    longer cycle. ``limit`` cycles per group are listed, in order of their nodes; cycle_id numbers them.
+    In order of their nodes, which cycle_id numbers. A loop counts (length 1) where its node is a component of its own. The search stops
+    behind the first ``limit`` cycles of a group, and cap_reached tells that there are more; null lists all.
     """
-    scratch = Scratch(edges.sparkSession, "cycles")
-    live = trim_acyclic(edges, group, scratch)
-    steps = live.filter("src <> dst").select(group, F.col("src").alias("s"), F.col("dst").alias("t"))
-    found, path, n = [], steps.filter("t > s").select(group, F.col("s").alias("first"), F.col("t").alias("last"), F.array("s", "t").alias("nodes")), 2
-    while True:
-        path = scratch.write(path)
-        if not path.limit(1).count():
-            break
-        ahead = path.join(steps.withColumnRenamed("s", "last"), [group, "last"])
-        found.append(ahead.filter("t = first").select(group, "nodes"))
-        if n == max_length:
-            break
-        path = ahead.filter("t > first and not array_contains(nodes, t)").select(group, "first", F.col("t").alias("last"), F.concat("nodes", F.array("t")).alias("nodes"))
-        n += 1
-    loops = live.filter("src = dst").select(group, F.col("src").alias("node"))
-    if found:
-        cycles = scratch.write(reduce(DataFrame.unionByName, found))
-        on = cycles.select(group, F.explode("nodes").alias("node")).distinct()
-        all_ = cycles.unionByName(loops.join(on, [group, "node"], "left_anti").select(group, F.array("node").alias("nodes")))
-    else:
-        all_ = loops.select(group, F.array("node").alias("nodes"))
-    numbered = all_.withColumn("cycle_id", F.row_number().over(Window.partitionBy(group).orderBy("nodes")))
-    if limit is not None:
-        numbered = numbered.filter(F.col("cycle_id") <= limit)
-    return numbered.select(group, "cycle_id", F.size("nodes").alias("length"), "nodes")
+
+    def rows(ahead: dict) -> list[tuple]:
+        found, more = _cycles(ahead, max_length, limit)
+        return [(i, len(c), c, more) for i, c in enumerate(found, 1)]
+
+    return _per_group(edges, group, "cycle_id int, length int, nodes array<{node}>, cap_reached boolean", rows)
+
+
+def import_counters(resolved: DataFrame, group: str) -> DataFrame:
+    """Imports per file (path) and, with a null path, per group: total and by where they lead."""
+    status = F.col("resolution_status")
+    return resolved.groupingSets([[F.col(group), F.col("path")], [F.col(group)]], F.col(group), F.col("path")).agg(
+        F.count("*").alias("total"), *[F.count_if(status == s).alias(s) for s in ("internal", "external")], F.count_if(~status.isin("internal", "external")).alias("unresolved")
+    )
 
 
 def cycle_membership(cycles: DataFrame, group: str) -> DataFrame:

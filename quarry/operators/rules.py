@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from quarry.operators.gates import fingerprint
 from quarry.operators.scores import severity_rank
+from quarry.parse.files import SECRETS, SINKS
+
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -26,7 +31,7 @@ class Inputs:
     cycles: DataFrame | None = None  # cycle_id, length, nodes
     clones: DataFrame | None = None
     handlers: DataFrame | None = None
-    contents: DataFrame | None = None  # path, language, content
+    hits: DataFrame | None = None  # path, name of the pattern, line_number
 
 
 COLUMNS = ("file_path", "rule_id", "category", "severity", "line_number", "end_line_number", "symbol_name", "title", "remediation_effort_minutes", "target_type", "target_identifier")
@@ -95,51 +100,21 @@ def empty_handler(x: Inputs) -> DataFrame:
 
 def unused_private(x: Inputs) -> DataFrame:
     c = F.col
-    private = x.symbols.filter(c("symbol_type").isin("function", "method") & c("name").startswith("_") & ~c("name").startswith("__"))
-    rows = private.join(x.contents.select(x.group, "path", "content"), [x.group, "path"]).join(x.metrics.select(x.group, "path", "sloc"), [x.group, "path"]).filter("sloc >= 50")
-    quoted = F.concat(F.lit(r"(?U)\b\Q"), c("name"), F.lit(r"\E\b"))
-    return _issues(rows.filter(F.regexp_count("content", quoted) <= 1), x.group, "HYGIENE-002", "hygiene", "minor", 20, F.concat(F.lit("Private and never used: "), "name"), c("path"), F.concat_ws("::", "path", "name"), "symbol", c("start_line"), c("end_line"), c("name"))
-
-
-# Patterns of credentials and of calls that run text as code, with the languages they are looked for in.
-SECRETS = {
-    "AWS Access Key": r"\b(AKIA[0-9A-Z]{16})\b",
-    "Private Key Header": r"-----BEGIN (?:RSA|EC|OPENSSH|DSA|PGP)?\s*PRIVATE KEY-----",
-    "GitHub Token": r"\b(ghp_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9_]{82})\b",
-    "Generic Secret Assignment": r"""(?i)(?:api_key|secret_key|auth_token|bearer_token)\s*=\s*['"][a-zA-Z0-9_\-\.]{24,}['"]""",
-}
-SINKS = {
-    "eval": (r"\beval\s*\(", None), "exec": (r"\bexec\s*\(", ("Python",)), "Function": (r"\bnew\s+Function\s*\(", ("JavaScript", "TypeScript")), "dangerouslySetInnerHTML": (r"\bdangerouslySetInnerHTML\b", ("JavaScript", "TypeScript")),
-}
+    rows = x.symbols.filter("mentions <= 1").join(x.metrics.filter("sloc >= 50").select(x.group, "path"), [x.group, "path"], "left_semi")
+    return _issues(rows, x.group, "HYGIENE-002", "hygiene", "minor", 20, F.concat(F.lit("Private and never used: "), "name"), c("path"), F.concat_ws("::", "path", "name"), "symbol", c("start_line"), c("end_line"), c("name"))
 
 
-def match_lines(text: Column, pattern: str) -> Column:
-    """Line number of every match: line feeds in front of it, plus one. Inside Catalyst."""
-    p = F.lit(pattern)
-    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n")))
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), breaks)
-    inside = F.transform(found, breaks)
-    add = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda x, y: x + y)
-    return F.transform(found, lambda _, i: add(between, i + 1) + add(inside, i) + 1)
-
-
-def _scan(x: Inputs, rule: str, category: str, patterns: dict[str, tuple[str, tuple[str, ...] | None]], label: str) -> DataFrame:
-    hits = []
-    for name, (pattern, languages) in patterns.items():
-        asked = F.lit(True) if languages is None else F.col("language").isin(*languages)
-        lines = F.when(asked & F.col("content").isNotNull() & F.regexp_like("content", F.lit(pattern)), match_lines(F.col("content"), pattern)).otherwise(F.array().cast("array<int>"))
-        hits.append(F.transform(lines, lambda n, name=name: F.struct(F.lit(name).alias("name"), n.alias("line"))))
-    rows = x.contents.select(x.group, "path", F.explode(F.concat(*hits)).alias("h"))
-    return _issues(rows, x.group, rule, category, "blocker", 60, F.concat(F.lit(label), "h.name"), F.col("path"), line=F.col("h.line"))
+def _found(x: Inputs, rule: str, names: tuple[str, ...], label: str) -> DataFrame:
+    rows = x.hits.filter(F.col("name").isin(*names))
+    return _issues(rows, x.group, rule, "security", "blocker", 60, F.concat(F.lit(label), "name"), F.col("path"), line=F.col("line_number"))
 
 
 def secrets(x: Inputs) -> DataFrame:
-    return _scan(x, "SEC-001", "security", {k: (p, None) for k, p in SECRETS.items()}, "Credential in the source: ")
+    return _found(x, "SEC-001", tuple(SECRETS), "Credential in the source: ")
 
 
 def code_sinks(x: Inputs) -> DataFrame:
-    return _scan(x, "SEC-002", "security", SINKS, "Text run as code: ")
+    return _found(x, "SEC-002", tuple(SINKS), "Text run as code: ")
 
 
 #: rule -> (function, inputs it needs)
@@ -152,19 +127,23 @@ RULES: dict[str, tuple[Callable[[Inputs], DataFrame], tuple[str, ...]]] = {
     "COMPLEX-005": (_function_rule("COMPLEX-005", "minor", 30, "Many parameters", lambda: F.col("parameter_count") >= 6, "parameter_count"), ("functions",)),
     "MAINT-001": (_file_rule("MAINT-001", "maintainability", "critical", 90, "Very hard to maintain", lambda: F.col("maintainability_score") < 40), ("metrics",)),
     "MAINT-002": (_file_rule("MAINT-002", "maintainability", "major", 45, "Hard to maintain", lambda: (F.col("maintainability_score") >= 40) & (F.col("maintainability_score") < 55)), ("metrics",)),
-    "MAINT-003": (undocumented, ("symbols",)), "DUP-001": (duplicate_block, ("clones",)), "HYGIENE-001": (empty_handler, ("handlers",)), "HYGIENE-002": (unused_private, ("symbols", "contents", "metrics")),
-    "SEC-001": (secrets, ("contents",)), "SEC-002": (code_sinks, ("contents",)),
+    "MAINT-003": (undocumented, ("symbols",)), "DUP-001": (duplicate_block, ("clones",)), "HYGIENE-001": (empty_handler, ("handlers",)), "HYGIENE-002": (unused_private, ("symbols", "metrics")),
+    "SEC-001": (secrets, ("hits",)), "SEC-002": (code_sinks, ("hits",)),
 }
 
 
 def run_rules(x: Inputs, rules: dict | None = None, on_error: Callable[[str, Exception], None] | None = None) -> DataFrame | None:
-    """All rules whose inputs are given, with severity rank and fingerprint. A rule whose plan cannot be built is left out."""
+    """All rules whose inputs are given, with severity rank and fingerprint.
+
+    A rule whose plan cannot be built is left out; it is logged with its error, and given to ``on_error``.
+    """
     parts = []
     for name, (rule, needs) in (rules or RULES).items():
         if all(getattr(x, n) is not None for n in needs):
             try:
                 parts.append(rule(x))
             except Exception as e:  # noqa: BLE001 - one faulty rule must not stop the others
+                log.error("rule %s is left out: %s", name, e)
                 if on_error:
                     on_error(name, e)
     if not parts:

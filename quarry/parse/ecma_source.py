@@ -392,7 +392,7 @@ def _imports(t: list[Tok], pair: dict[int, int]) -> list[dict]:
             where = next((k for k in range(i + 1, end) if t[k].text == "from" and t[k + 1].kind == "string"), None)
             if where is not None:
                 names = [x.text for k, x in enumerate(t[i + 1 : where], i + 1) if x.kind == "word" and x.text not in ("as", "type") and t[k + 1].text != "as"]
-                put(i, "import" if tok.text == "import" else "export", t[where + 1].text, names, nxt == "type")
+                put(i, "import" if tok.text == "import" else "re_export", t[where + 1].text, names, nxt == "type")
             elif tok.text == "import" and i + 1 < len(t) and t[i + 1].kind == "string":
                 put(i, "import", t[i + 1].text, [])
     return sorted(out, key=lambda d: (d["line_number"], d["target_module"]))

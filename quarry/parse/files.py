@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,20 +17,53 @@ from quarry.sources.discovery import language_of
 #: Parsers by language; more can be registered.
 PARSERS: dict[str, Callable[[str, str], dict]] = {"Python": python_source.parse, "JavaScript": ecma_source.parse, "TypeScript": ecma_source.parse}
 
-SYMBOL = "name string, symbol_type string, start_line int, start_column int, end_line int, end_column int, qualified_name string, parent_name string, signature string, has_docstring boolean, is_async boolean"
+SYMBOL = "name string, symbol_type string, start_line int, start_column int, end_line int, end_column int, qualified_name string, parent_name string, signature string, has_docstring boolean, is_async boolean, mentions int"
 FUNCTION = "name string, symbol_type string, start_line int, end_line int, lines_of_code int, cyclomatic_complexity int, nesting_depth int, parameter_count int, return_count int, branch_count int, loop_count int, exception_handler_count int, boolean_condition_count int"
 IMPORT = "target_module string, dependency_type string, imported_symbols array<string>, line_number int, level int, is_type_only boolean"
 HANDLER = "line_number int, exception_type string"
-FIELDS = f"status string, error string, total_lines int, blank_lines int, comment_lines int, statement_count int, symbols array<struct<{SYMBOL}>>, functions array<struct<{FUNCTION}>>, imports array<struct<{IMPORT}>>, handlers array<struct<{HANDLER}>>"
+HIT = "name string, line_number int"
+FIELDS = f"status string, error string, total_lines int, blank_lines int, comment_lines int, statement_count int, symbols array<struct<{SYMBOL}>>, functions array<struct<{FUNCTION}>>, imports array<struct<{IMPORT}>>, handlers array<struct<{HANDLER}>>, hits array<struct<{HIT}>>"
+
+
+# Patterns of credentials and of calls that run text as code, with the languages they are looked for in.
+SECRETS = {
+    "AWS Access Key": r"\b(AKIA[0-9A-Z]{16})\b",
+    "Private Key Header": r"-----BEGIN (?:RSA|EC|OPENSSH|DSA|PGP)?\s*PRIVATE KEY-----",
+    "GitHub Token": r"\b(ghp_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9_]{82})\b",
+    "Generic Secret Assignment": r"""(?i)(?:api_key|secret_key|auth_token|bearer_token)\s*=\s*['"][a-zA-Z0-9_\-\.]{24,}['"]""",
+}
+SINKS = {
+    "eval": (r"\beval\s*\(", None), "exec": (r"\bexec\s*\(", ("Python",)), "Function": (r"\bnew\s+Function\s*\(", ("JavaScript", "TypeScript")), "dangerouslySetInnerHTML": (r"\bdangerouslySetInnerHTML\b", ("JavaScript", "TypeScript")),
+}
+_PATTERNS = [(n, re.compile(p, re.A), None) for n, p in SECRETS.items()] + [(n, re.compile(p, re.A), langs) for n, (p, langs) in SINKS.items()]
+
+
+def hits(language: str | None, text: str) -> list[dict]:
+    """Name and line of every match of the patterns that are looked for in this language."""
+    out = []
+    for name, pattern, languages in _PATTERNS:
+        if languages is None or language in languages:
+            line, at = 1, 0
+            for m in pattern.finditer(text):
+                line += text.count("\n", at, m.start())
+                at = m.start()
+                out.append({"name": name, "line_number": line})
+    return out
 
 
 def parse_one(language: str | None, path: str, text: str | None) -> dict:
-    """Never raises: files of other languages are ``unsupported``, what a parser cannot read is ``failed``."""
+    """Never raises: files of other languages are ``unsupported``, what a parser cannot read is ``failed``.
+
+    ``hits`` are looked for in every text. ``mentions`` of a private function or method: how often its name occurs in the text.
+    """
     empty = {"error": None, "total_lines": None, "blank_lines": 0, "comment_lines": 0, "statement_count": 0, "symbols": [], "functions": [], "imports": [], "handlers": []}
     parser = PARSERS.get(language or "")
-    if parser is None or text is None:
-        return {"status": "unsupported"} | empty
-    return parser(path, text)
+    out = {"status": "unsupported"} | empty if parser is None or text is None else parser(path, text)
+    out["hits"] = hits(language, text) if text else []
+    for s in out["symbols"]:
+        private = s["symbol_type"] in ("function", "method") and s["name"].startswith("_") and not s["name"].startswith("__")
+        s["mentions"] = len(re.findall(rf"\b{re.escape(s['name'])}\b", text or "")) if private else None
+    return out
 
 
 def parse_files(files: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> DataFrame:

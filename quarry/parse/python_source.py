@@ -94,6 +94,7 @@ def _symbols(tree: ast.Module, path: str) -> list[dict]:
 def _figures(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
     """Figures of a function's own code; nested definitions have their own."""
     f = {"cyclomatic_complexity": 1, "nesting_depth": 0, "return_count": 0, "branch_count": 0, "loop_count": 0, "exception_handler_count": 0, "boolean_condition_count": 0}
+    negations = 0
     todo: list[tuple[ast.AST, int]] = [(child, 0) for child in ast.iter_child_nodes(fn)]
     while todo:
         node, depth = todo.pop()
@@ -110,12 +111,15 @@ def _figures(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
         elif isinstance(node, ast.Return):
             f["return_count"] += 1
         elif isinstance(node, ast.comprehension):
-            f["cyclomatic_complexity"] += len(node.ifs)
+            f["branch_count"] += len(node.ifs)
+        elif isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            negations += 1  # a condition, but no further path
         if isinstance(node, _DEEPER):
             depth += 1
             f["nesting_depth"] = max(f["nesting_depth"], depth)
         todo += [(child, depth) for child in ast.iter_child_nodes(node)]
     f["cyclomatic_complexity"] += f["branch_count"] + f["loop_count"] + f["exception_handler_count"] + f["boolean_condition_count"]
+    f["boolean_condition_count"] += negations
     a = fn.args
     f["parameter_count"] = len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
     f |= {"name": fn.name, "symbol_type": "function", "start_line": fn.lineno, "end_line": fn.end_lineno, "lines_of_code": (fn.end_lineno or fn.lineno) - fn.lineno + 1}

@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from quarry.operators import clones, dependencies, exports, gates, graph, health, metrics, rules
 from quarry.operators import scores as S
 from quarry.parse.files import explode_parts, parse_files
-from quarry.plans.tables import files
+from quarry.plans.tables import all_files, without_superseded
 from quarry.scratch import Scratch
-from quarry.sources.discovery import language_of
 
 G = "analysis_id"
 
 
+def latest_tokens(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
+    rows = clones.token_table(all_files(spark, d), G, "path", "content", ["id", "created_at"])
+    return without_superseded(scratch.write(rows.withColumn("rid", F.monotonically_increasing_id())))
+
+
 class Code:
     """Parsed files of all runs, written once; its parts as rows."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.spark, self.d = spark, d
         self.scratch = Scratch(spark, "code")
-        self.files = files(spark, d)
-        self.parsed = self.scratch.write(parse_files(self.files.select(G, "path", "content"), [G]))
+        # every stored row is parsed where it is read; contents are not shuffled, superseded rows are left out afterwards
+        self.parsed = without_superseded(self.scratch.write(parse_files(all_files(spark, d), [G, "id", "created_at"]).withColumn("rid", F.monotonically_increasing_id())))
+        self.files = self.parsed.select(G, "path", "id")
+
+    def tokens(self) -> DataFrame:
+        return latest_tokens(self.spark, self.d, self.scratch)
 
     def part(self, name: str) -> DataFrame:
         return explode_parts(self.parsed, [G], name)
@@ -39,7 +47,7 @@ class Code:
 
 
 def parsed_files(spark: SparkSession, d: str) -> DataFrame:
-    return parse_files(files(spark, d), [G]).select(G, "path", "language", "status", F.coalesce("error", F.lit("")).alias("error"), F.size("symbols").alias("symbols"), F.size("functions").alias("functions"), F.size("imports").alias("imports"))
+    return Code(spark, d).parsed.select(G, "path", "language", "status", F.coalesce("error", F.lit("")).alias("error"), F.size("symbols").alias("symbols"), F.size("functions").alias("functions"), F.size("imports").alias("imports"))
 
 
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -94,22 +102,29 @@ def import_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(c.files.select(G, F.col("path").alias("node")), c.edges(), G)
 
 
+def import_counts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.import_counters(Code(spark, d).resolved(), G)
+
+
+def import_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.strong_components(Code(spark, d).edges(), G)
+
+
 def import_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graph.elementary_cycles(Code(spark, d).edges(), G)
 
 
 def code_clones(spark: SparkSession, d: str) -> DataFrame:
-    return clones.find_clones(clones.token_table(files(spark, d), G, "path", "content"), G)
+    return clones.find_clones(latest_tokens(spark, d, Scratch(spark, "tokens")), G)
 
 
 def _inputs(c: Code) -> rules.Inputs:
     edges = c.scratch.write(c.edges())
     nodes = c.files.select(G, F.col("path").alias("node"))
-    blocks = c.scratch.write(clones.find_clones(clones.token_table(c.files, G, "path", "content"), G))
-    contents = c.files.select(G, "path", "content", language_of(F.col("path")).alias("language"))
+    blocks = c.scratch.write(clones.find_clones(c.tokens(), G))
     return rules.Inputs(
         group=G, metrics=c.metrics, functions=c.part("functions"), symbols=c.part("symbols"), degrees=graph.degrees(nodes, edges, G), edges=edges,
-        cycles=c.scratch.write(graph.elementary_cycles(edges, G)), clones=blocks, handlers=c.part("handlers"), contents=contents,
+        cycles=c.scratch.write(graph.elementary_cycles(edges, G)), clones=blocks, handlers=c.part("handlers"), hits=c.part("hits"),
     )
 
 
@@ -164,7 +179,7 @@ def json_reports(spark: SparkSession, d: str) -> DataFrame:
 CODE = {
     f.__name__: f
     for f in (
-        parsed_files, code_symbols, symbol_kinds, function_figures, function_matches, file_figures, top_flags, repository_figures, resolved_imports, dependency_listing, import_degrees, import_cycles, code_clones, diagnostics, health_scores, recommendations, code_gate,
+        parsed_files, code_symbols, symbol_kinds, function_figures, function_matches, file_figures, top_flags, repository_figures, resolved_imports, dependency_listing, import_degrees, import_counts, import_components, import_cycles, code_clones, diagnostics, health_scores, recommendations, code_gate,
         markdown_reports, json_reports,
     )
 }

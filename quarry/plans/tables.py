@@ -12,10 +12,26 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of the last runs, one row per run and path: of several the latest, then the greatest id."""
-    t = table(spark, d, "repository_files").select("id", "analysis_id", clean_path(F.col("path")).alias("path"), "size_bytes", "content", "created_at")
-    return t.groupBy("analysis_id", "path").agg(F.max_by(F.struct("id", "size_bytes", "content"), F.struct("created_at", "id")).alias("v")).select("analysis_id", "path", "v.*")
+def all_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of repository_files, with clean paths; repeated and superseded ones too."""
+    return table(spark, d, "repository_files").select("id", "analysis_id", clean_path(F.col("path")).alias("path"), "size_bytes", "content", "created_at")
+
+
+def latest_files(rows: DataFrame) -> DataFrame:
+    """One row per run and path: of several the latest, then the greatest id. For rows that no longer hold contents."""
+    rest = [c for c in rows.columns if c not in ("analysis_id", "path", "created_at")]
+    return rows.groupBy("analysis_id", "path").agg(F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("v")).select("analysis_id", "path", "v.*")
+
+
+#: Superseded rows (a long each) up to which they are broadcast, after a count.
+BROADCAST_ROWS = 1_000_000
+
+
+def without_superseded(rows: DataFrame) -> DataFrame:
+    """``rows`` (a stored table with a unique ``rid``) of ``latest_files``; only ids of superseded rows travel, no values."""
+    w = Window.partitionBy("analysis_id", "path").orderBy(F.desc("created_at"), F.desc("id"), "rid")
+    old = rows.select("analysis_id", "path", "created_at", "id", "rid").withColumn("n", F.row_number().over(w)).filter("n > 1").select("rid")
+    return rows.join(F.broadcast(old) if old.count() <= BROADCAST_ROWS else old, "rid", "left_anti")
 
 
 def scored_files(spark: SparkSession, d: str) -> DataFrame:
@@ -30,15 +46,6 @@ def clone_edges(spark: SparkSession, d: str) -> DataFrame:
     return t.select("analysis_id", clean_path(F.col("source_file_path")).alias("src"), clean_path(F.col("target_file_path")).alias("dst"), F.col("source_start_line").alias("line_number")).filter("src is not null and dst is not null")
 
 
-def event_edges(spark: SparkSession, d: str) -> DataFrame:
-    """User to next user in order of time, the two most frequent successors of each (ties: the lesser)."""
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"))
-    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    pairs = e.select(F.col("user_id").alias("src"), nxt.alias("dst")).filter("dst is not null").groupBy("src", "dst").count()
-    w = Window.partitionBy("src").orderBy(F.desc("count"), "dst")
-    return pairs.withColumn("n", F.row_number().over(w)).filter("n <= 2").select(F.lit("all").alias("grp"), "src", "dst")
-
-
 def numstat(spark: SparkSession, d: str) -> DataFrame:
     """A change history: orders are commits of their customers, line items the changed files."""
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")

@@ -92,7 +92,7 @@ export class S<T> { run(a: string, b?: number): boolean { return a.length > 1 &&
 const fs = require('fs');
 """,
     )
-    assert [(i["target_module"], i["dependency_type"], i["is_type_only"]) for i in r["imports"]] == [("./a", "import", True), ("lib", "import", False), ("./b", "export", False), ("fs", "require", False)]
+    assert [(i["target_module"], i["dependency_type"], i["is_type_only"]) for i in r["imports"]] == [("./a", "import", True), ("lib", "import", False), ("./b", "re_export", False), ("fs", "require", False)]
     assert {("User", "interface"), ("S", "class"), ("run", "method")} <= {(s["name"], s["symbol_type"]) for s in r["symbols"]}
     assert r["functions"][0]["cyclomatic_complexity"] == 2
 
@@ -139,8 +139,7 @@ def test_rules(spark):
     rows = [("g", "a.py", f"\nkey = '{secret}'\neval('1')\nexec('2')\n"), ("g", "b.ts", "try { a() } catch (e) { }\nnew Function('x')\nexec('no')\n"), ("g", "c.py", "def long(a, b, c, d, e, f):\n    pass\n")]
     df = spark.createDataFrame(rows, "grp string, path string, content string")
     p = parse_files(df, ["grp"])
-    contents = df.withColumn("language", discovery.language_of(F.col("path")))
-    x = rules.Inputs("grp", metrics=metrics.file_metrics(p, ["grp"]), functions=explode_parts(p, ["grp"], "functions"), symbols=explode_parts(p, ["grp"], "symbols"), handlers=explode_parts(p, ["grp"], "handlers"), contents=contents)
+    x = rules.Inputs("grp", metrics=metrics.file_metrics(p, ["grp"]), functions=explode_parts(p, ["grp"], "functions"), symbols=explode_parts(p, ["grp"], "symbols"), handlers=explode_parts(p, ["grp"], "handlers"), hits=explode_parts(p, ["grp"], "hits"))
     got = sorted((r["file_path"], r["rule_id"], r["line_number"]) for r in rules.run_rules(x).collect())
     assert ("a.py", "SEC-001", 2) in got and ("a.py", "SEC-002", 3) in got and ("a.py", "SEC-002", 4) in got
     assert ("b.ts", "HYGIENE-001", 1) in got and ("b.ts", "SEC-002", 2) in got and ("b.ts", "SEC-002", 3) not in got

@@ -70,3 +70,27 @@ def test_cycle_comparison(spark):
     b = spark.createDataFrame([(["a", "b", "c"],), (["p", "q"],)], "nodes array<string>")
     assert a.select(canonical_cycle(a["nodes"]).alias("c")).first()["c"] == ["a", "b", "c"]
     assert sorted((r[0][0], r[1]) for r in cycle_lifecycle(a, b).collect()) == [("a", "persistent"), ("p", "new"), ("x", "fixed")]
+
+
+def test_cycles_of_a_dense_graph_end_early(spark):
+    full = [(a, b) for a in range(20) for b in range(20) if a != b]
+    got = graph.elementary_cycles(edges(spark, full), "grp").collect()
+    assert len(got) == 100 and all(r["cap_reached"] for r in got)
+    assert [r["nodes"] for r in sorted(got, key=lambda r: r["cycle_id"])] == sorted(r["nodes"] for r in got)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(3000)]
+    got = {r["node"]: (r["component"], r["members"], r["cyclic"]) for r in graph.strong_components(edges(spark, [*chain, (10, 8), (7, 7)]), "grp").collect()}
+    assert got[8] == got[9] == got[10] == (8, 3, True) and got[7] == (7, 1, True) and got[2999] == (2999, 1, False) and len(got) == 3001
+    for seed in range(4):
+        rnd = random.Random(seed)
+        es = {(rnd.randrange(9), rnd.randrange(9)) for _ in range(14)}
+        reach = set(es)
+        while new := {(a, d) for a, b in reach for c, d in es if b == c} - reach:
+            reach |= new
+        for r in graph.strong_components(edges(spark, sorted(es)), "grp").collect():
+            n = r["node"]
+            same = {n} | {b for a, b in reach if a == n and (b, a) in reach}
+            assert (r["component"], r["members"], r["cyclic"]) == (min(same), len(same), (n, n) in reach)
+    assert graph.strong_components(edges(spark, [(1, 1)]).limit(0), "grp").count() == 0
