@@ -2,12 +2,11 @@
 
 Every node starts with a pointer to its parent. A round joins each pending pointer with its target's state: a target
 that knows its root settles the node, a pending target doubles the jump. Depth d settles in about log2(d) rounds; a
-round that settles nobody proves that the rest lie on or below cycles, as a pending acyclic node always has an
-ancestor that settles in that round. Path segments are concatenated along with the jumps.
+round that settles nobody proves that the rest lie on or below cycles. Path segments are concatenated along with the
+jumps. See ``pointers`` for what a round reads, and ``skew`` for parents with very many children.
 
-Nodes are 64-bit hashes of their ids, so a state row is a few longs; each run checks that no two ids share a hash
-and takes another seed if they do, so results are exact. The pending side of a round is broadcast only after it has
-been counted and lies under ``BROADCAST_ROWS``; beyond it the join shuffles, and adaptive execution splits hot parents.
+Nodes are 64-bit codes of their ids, so a state row is a few longs; each run checks that no two ids share a code and
+takes another seed if they do. From ``pointers.NARROW_ROWS`` rows on codes have 128 bits, and none is shared.
 
 Defined results
 * Several rows of one id: the row first in ``order`` counts; ids and links compare without letter case.
@@ -23,29 +22,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.pointers import BROADCAST_ROWS_PATHS, NARROW_ROWS, code, follow
 from quarry.scratch import Scratch
+from quarry.skew import hot_counted, hot_keys, join_one
 
-#: Pending rows (a few longs each, plus a path where asked for) up to which a round broadcasts them.
-BROADCAST_ROWS = 100_000
-BROADCAST_ROWS_PATHS = 10_000
 
-
-def _nodes(rows: DataFrame, id_: Column, parent: Column, name: Column | None, order: Sequence[Column], scratch: Scratch) -> DataFrame:
-    """One row per node: h, id, ph (hash of the parent, null where there is none), name."""
-    seed = 0
+def _nodes(rows: DataFrame, id_: Column, parent: Column, name: Column | None, order: Sequence[Column], scratch: Scratch) -> tuple[DataFrame, int]:
+    """One row per node: h, id, ph (code of the parent, null where there is none), name. And their number."""
+    seed, wide = 0, rows.count() > NARROW_ROWS
     while True:
         base = rows.select(F.lower(id_).alias("id"), F.lower(parent).alias("parent"), *([name.alias("name")] if name is not None else []), *[o.alias(f"o{i}") for i, o in enumerate(order)])
         base = base.filter("id is not null and id <> ''").withColumn("parent", F.expr("nullif(parent, '')"))
         value = F.struct("id", "parent", *(["name"] if name is not None else []))
         key = F.struct(*[f"o{i}" for i in range(len(order))], "parent", *(["name"] if name is not None else []))
-        def hashed(c: str) -> Column:
-            return F.xxhash64(F.lit(seed), F.col(c))
-
-        best = base.groupBy(hashed("id").alias("h")).agg(F.max_by(value, key).alias("v"), F.min(F.hash("id")).alias("c0"), F.max(F.hash("id")).alias("c1"))
-        out = best.select("h", "v.*", (F.col("c0") != F.col("c1")).alias("clash")).withColumn("ph", F.when(F.col("parent").isNotNull(), hashed("parent"))).drop("parent")
+        best = base.groupBy(code(wide, seed, "id").alias("h")).agg(F.max_by(value, key).alias("v"), F.min(F.hash("id")).alias("c0"), F.max(F.hash("id")).alias("c1"))
+        out = best.select("h", "v.*", (F.col("c0") != F.col("c1")).alias("clash")).withColumn("ph", F.when(F.col("parent").isNotNull(), code(wide, seed, "parent"))).drop("parent")
         table = scratch.write(out)
-        if not table.filter("clash").limit(1).count():
-            return table.drop("clash"), table
+        counts = table.agg(F.count("*"), F.count_if("clash")).first()
+        if not counts[1]:
+            return table.drop("clash"), counts[0]
         scratch.drop(table)
         seed += 1
 
@@ -59,49 +54,22 @@ def resolve(
     separator: str = ".",
 ) -> DataFrame:
     """symbol_id, root_id, tree_depth and, with ``name``, path (names from the root down, joined by ``separator``)."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    paths = name is not None
-    limit = BROADCAST_ROWS_PATHS if paths else BROADCAST_ROWS
-    nodes, nodes_table = _nodes(rows, id_, parent, name, order, scratch)
-    path0 = [F.coalesce("name", F.lit("")).alias("path")] if paths else []
-    mine = nodes.select("h", "ph", *path0)
+    scratch = Scratch(rows.sparkSession, "hierarchy")
+    nodes, count = _nodes(rows, id_, parent, name, order, scratch)
+    extra = ["path"] if name is not None else []
+    mine = nodes.select("h", "ph", *[F.coalesce("name", F.lit("")).alias("path") for _ in extra])
     known = nodes.select(F.col("h").alias("ph"), F.lit(True).alias("there"))
-    first = mine.join(known, "ph", "left").select("h", F.when(F.col("there"), F.col("ph")).alias("ptr"), *(["path"] if paths else []))
-    state = scratch.write(first)
-    extra = ["path"] if paths else []
-    # settled: h, root (hash), depth; pending: h, ptr (2^k steps up). Paths of pending nodes cover these 2^k steps.
-    settled = [state.filter("ptr is null").select("h", F.col("h").alias("root"), F.lit(0).alias("depth"), *extra)]
-    pending, table, jump = state.filter("ptr is not null"), None, 1
-    left = pending.count()
-    while left:
-        target = settled[0]
-        for s in settled[1:]:
-            target = target.unionByName(s)
-        pad = pending.select(F.col("h").alias("th"), F.col("ptr").alias("tptr"), F.lit(None).cast("long").alias("troot"), F.lit(None).cast("int").alias("tdepth"), *([F.col("path").alias("tpath")] if paths else []))
-        target = target.select(F.col("h").alias("th"), F.lit(None).cast("long").alias("tptr"), F.col("root").alias("troot"), F.col("depth").alias("tdepth"), *([F.col("path").alias("tpath")] if paths else [])).unionByName(pad)
-        near = F.broadcast(pending) if left <= limit else pending
-        joined = near.join(target, F.col("ptr") == F.col("th")).select(
-            "h", F.col("tptr").alias("ptr"), F.col("troot").alias("root"), (F.col("tdepth") + F.lit(jump)).cast("int").alias("depth"),
-            *([F.concat_ws(separator, "tpath", "path").alias("path")] if paths else []),
-        )
-        new = scratch.write(joined)
-        rest = new.filter("root is null")
-        now = rest.count()
-        if now == left:
-            scratch.drop(new)
-            break
-        settled.append(new.filter("root is not null").select("h", "root", "depth", *extra))
-        pending, left, jump = rest.select("h", "ptr", *extra), now, jump * 2
-    ids = nodes.select("h", "id")
-    tree = settled[0]
-    for s in settled[1:]:
-        tree = tree.unionByName(s)
-    roots = ids.join(tree.filter("depth = 0").select("h"), "h", "left_semi").select(F.col("h").alias("root"), F.col("id").alias("root_id"))
-    out = tree.join(ids, "h").join(roots, "root").select(F.col("id").alias("symbol_id"), "root_id", F.col("depth").alias("tree_depth"), *extra)
-    if left:
-        loops = _cycles(pending.select("h"), nodes, left, scratch)
-        out = out.unionByName(loops.select(F.col("id").alias("symbol_id"), "root_id", F.lit(-1).alias("tree_depth"), *([F.lit(None).cast("string").alias("path")] if paths else [])))
+    first = join_one(mine, known, "ph", hot_keys(mine.filter("ph is not null"), "ph", count), "left")
+    state = scratch.write(first.select(F.col("h").alias("v"), F.when(F.col("there"), F.col("ph")).alias("p"), *extra))
+    tree, loops = follow(state.filter("p is not null"), state.filter("p is null").drop("p"), scratch, separator)
+    ids = nodes.select(F.col("h").alias("v"), "id")
+    named = tree.join(ids, "v")
+    sizes = tree.groupBy("root").agg(F.count("*").alias("n"))
+    roots = named.filter("depth = 0").select("root", F.col("id").alias("root_id"))
+    out = join_one(named, roots, "root", hot_counted(sizes, "root", count)).select(F.col("id").alias("symbol_id"), "root_id", F.col("depth").alias("tree_depth"), *extra)
+    if loops is not None:
+        looped = _cycles(loops.select(F.col("v").alias("h")), nodes, loops.count(), scratch)
+        out = out.unionByName(looped.select(F.col("id").alias("symbol_id"), "root_id", F.lit(-1).alias("tree_depth"), *[F.lit(None).cast("string").alias("path") for _ in extra]))
     return out
 
 
@@ -118,20 +86,19 @@ def _cycles(pending: DataFrame, nodes: DataFrame, count: int, scratch: Scratch)
     targets = -1
     while True:
         t = state.select(F.col("h").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("tlow"))
-        new = scratch.write(
-            state.join(F.broadcast(t) if small else t, "ptr")
-            .select("h", "id", F.col("next").alias("ptr"), F.least("low", "tlow").alias("low"), (F.col("tlow") < F.col("low")).alias("moved"))
-        )
-        on = new.select(F.col("ptr").alias("h")).distinct()
-        now = on.count()
-        still = new.join(F.broadcast(on) if small else on, "h", "left_semi").filter("moved").limit(1).count() == 0
+        both = state.join(F.broadcast(t), "ptr") if small else join_one(state, t, "ptr", hot_keys(state, "ptr", count))
+        new = scratch.write(both.select("h", "id", F.col("next").alias("ptr"), F.least("low", "tlow").alias("low"), (F.col("tlow") < F.col("low")).alias("moved")))
+        on = new.select(F.col("ptr").alias("h")).distinct().withColumn("target", F.lit(True))
+        seen = new.join(F.broadcast(on) if small else on, "h", "left").agg(F.count_if("target"), F.count_if(F.col("target") & F.col("moved"))).first()
+        now, still = seen[0], not seen[1]
         scratch.drop(state)
         state = new
         if now == targets and still:
             break
         targets = now
     low = state.select(F.col("h").alias("ptr"), F.col("low").alias("root_id"))
-    return state.select("id", "ptr").join(F.broadcast(low) if small else low, "ptr").select("id", "root_id")
+    mine = state.select("id", "ptr")
+    return (mine.join(F.broadcast(low), "ptr") if small else join_one(mine, low, "ptr", hot_keys(mine, "ptr", count))).select("id", "root_id")
 
 
 def descendants(rows: DataFrame, id_: Column, parent: Column, order: Sequence[Column], cyclic: bool = False) -> DataFrame:
