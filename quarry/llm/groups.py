@@ -5,10 +5,11 @@ about it; a vertex that nobody names as a minimum drops out and hangs below the
 propagation forest; the others stay, linked to that smallest vertex. The graph that remains shrinks quickly until only
 seeds, the minima of the components, are left. Then the seeds' identifiers flow down the forest by pointer doubling.
 
-Vertices are 64-bit hashes (a run checks that no two vertices share one, and reseeds if they do), so an edge is two
-longs. Neighbourhood minima are plain aggregations that combine before the shuffle: a vertex with a third of all edges
-costs no task more than its share. Where a vertex's minimum goes back to its edges, a join on a hot vertex is split:
-see ``_spread``.
+Vertices are 64-bit codes (a run checks that no two vertices share one, and reseeds if they do), so an edge is two longs;
+from ``pointers.NARROW_ROWS`` rows on codes have 128 bits. Neighbourhood minima are plain aggregations that combine
+before the shuffle: a vertex with a third of all edges costs no task more than its share. Where a vertex's minimum goes
+back to its edges, where pointers of the forest lead to one hub, and where the name of a very large group goes to its
+members, the few frequent keys are broadcast instead of shuffled: see ``skew``.
 
 Defined results
 * A self pair or a pair with one null end names its vertices but links nothing else; a null vertex is none.
@@ -22,24 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.pointers import NARROW_ROWS, code, follow, union_all
 from quarry.scratch import Scratch
-
-#: Rows of two longs up to which the rest of a graph or a forest is broadcast, after it has been counted.
-BROADCAST_ROWS = 100_000
-#: Pieces into which the edges of one hot vertex are spread.
-SALT = 16
-#: Edges of a vertex from which it is hot. Hot vertices are at most all edges / HOT_EDGES, each a single long.
-HOT_EDGES = 50_000
-
-
-def _spread(edges: DataFrame, on: str, per_vertex: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Join ``edges`` with one row per vertex; rows of the vertices in ``hot`` (column v) go to SALT partitions each."""
-    if hot is None:
-        return edges.join(per_vertex, on)
-    mark = F.broadcast(hot.select(F.col("v").alias(on), F.lit(1).alias("is_hot")))
-    left = edges.join(mark, on, "left").withColumn("salt", F.when(F.col("is_hot") == 1, F.pmod(F.xxhash64(*edges.columns), F.lit(SALT)).cast("int")).otherwise(0)).drop("is_hot")
-    right = per_vertex.join(mark, on, "left").withColumn("salt", F.explode(F.when(F.col("is_hot") == 1, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("is_hot")
-    return left.join(right, [on, "salt"]).drop("salt")
+from quarry.skew import hot_counted, join_one
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -54,19 +40,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
         both = graph.select(F.explode(ends).alias("e")).select("e.u", "e.v")
         low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        hot = None
-        if size >= HOT_EDGES:
-            hot = low.filter(F.col("n") >= HOT_EDGES).select(F.col("u").alias("v"))
-            hot = hot if hot.limit(1).count() else None
+        hot = hot_counted(low.select("u", "n"), "u", 2 * size)
         # told(w, m): w is told of m, the minimum of a neighbour's (or its own) neighbourhood
-        told = _spread(both, "u", low.select("u", "m"), hot).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m")).distinct()
+        told = join_one(both, low.select("u", "m"), "u", hot).select(F.col("v").alias("w"), "m").unionByName(low.select(F.col("u").alias("w"), "m")).distinct()
         told = scratch.write(told)
         best = told.groupBy("w").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("w")).cast("int")).alias("own"), F.max("m").alias("high"))
         best = scratch.write(best)
         forest.append(best.filter("own = 0").select(F.col("w").alias("v"), F.col("low").alias("p")))
         more = best.filter("low <> high").select("w", "low")
-        busy = hot.select("v") if hot is not None else None
-        rest = _spread(told, "w", more, busy).filter("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
+        busy = hot.withColumnRenamed("u", "w") if hot is not None else None
+        rest = join_one(told, more, "w", busy).filter("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
         new = scratch.write(rest)
         scratch.drop(graph, told)
         if everyone is None:
@@ -76,60 +59,52 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         graph = new
     if everyone is None:
         return graph.select("v", F.col("u").alias("seed"))
-    # who never dropped out is the seed of its component
-    fallen = _all(forest)
-    return _flow(fallen, scratch.write(everyone.join(fallen.select("v"), "v", "left_anti")), scratch)
+    # who never dropped out is the seed of its component; the seeds' identifiers flow down the forest
+    fallen = union_all(forest)
+    seeds = scratch.write(everyone.join(fallen.select("v"), "v", "left_anti"))
+    settled, rest = follow(fallen, seeds, scratch)
+    if rest is not None:
+        raise AssertionError("the forest has no cycles")
+    return settled.select("v", F.col("root").alias("seed"))
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _flow(forest: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """Seed identifiers down the forest (v -> p), by pointer doubling: settled vertices leave the rounds."""
-    settled = [seeds.select("v", F.col("v").alias("seed"))]
-    pending = forest
-    while True:
-        count = pending.count()
-        if not count:
-            return _all(settled)
-        state = _all(settled).select(F.col("v").alias("p"), "seed", F.lit(None).cast("long").alias("q")).unionByName(
-            pending.select(F.col("v").alias("p"), F.lit(None).cast("long").alias("seed"), F.col("p").alias("q"))
-        )
-        near = F.broadcast(pending) if count <= BROADCAST_ROWS else pending
-        new = scratch.write(near.join(state, "p").select("v", "seed", "q"))
-        settled.append(new.filter("seed is not null").select("v", "seed"))
-        pending = new.filter("seed is null").select("v", F.col("q").alias("p"))
+def _tagged(c: Column, bit: int, wide: bool) -> Column:
+    """Codes of named vertices and of shared keys never meet: the last bit, or a byte in front, tells them apart."""
+    if wide:
+        return F.concat(F.unhex(F.lit(f"0{bit}")), c)
+    return c.bitwiseOR(F.lit(1)) if bit else c.bitwiseAND(F.lit(-2))
 
 
 def group_matches(pairs: DataFrame, scope: Column, source: Column, target: Column, key: Column, name: str = "file_path") -> DataFrame:
     """scope, ``name``, group_id (the smallest name of the group within the scope) for every vertex named in ``pairs``."""
     scratch = Scratch(pairs.sparkSession, "groups")
-    seed = 0
-    while True:
-        rows = pairs.select(scope.alias("s"), source.alias("a"), target.alias("b"), F.when(key != "", key).alias("k"))
+    count = pairs.count()
+    seed, wide = 0, count > NARROW_ROWS
+
+    def vertex(c: str) -> Column:
+        return _tagged(code(wide, seed, F.lit("v"), "s", c), 0, wide)
 
-        def code(c: str) -> Column:
-            return F.xxhash64(F.lit(seed), F.lit("v"), "s", c).bitwiseAND(F.lit(-2))  # even: a named vertex; odd: a key
+    def shared(k: str) -> Column:
+        return _tagged(code(wide, seed, F.lit("k"), "s", k), 1, wide)
 
+    while True:
+        rows = pairs.select(scope.alias("s"), source.alias("a"), target.alias("b"), F.when(key != "", key).alias("k"))
         named = rows.select("s", F.explode(F.array("a", "b")).alias("x")).filter("x is not null")
-        vertices = scratch.write(named.distinct().withColumn("v", code("x")))
+        vertices = scratch.write(named.distinct().withColumn("v", vertex("x")))
         clash = vertices.groupBy("v").count().filter("count > 1")
-        keys = rows.filter("k is not null").groupBy(F.xxhash64(F.lit(seed), F.lit("k"), "s", "k").bitwiseOR(F.lit(1)).alias("h")).agg(F.min(F.hash("s", "k")).alias("c0"), F.max(F.hash("s", "k")).alias("c1"))
-        if not clash.limit(1).count() and not keys.filter("c0 <> c1").limit(1).count():
+        keys = rows.filter("k is not null").groupBy(shared("k").alias("h")).agg(F.min(F.hash("s", "k")).alias("c0"), F.max(F.hash("s", "k")).alias("c1"))
+        if wide or (not clash.limit(1).count() and not keys.filter("c0 <> c1").limit(1).count()):
             break
         scratch.drop(vertices)
         seed += 1
     one = F.coalesce("a", "b")
     ends = F.array(
-        F.struct(F.when(one.isNotNull(), code("one")).alias("u"), F.when(F.coalesce("b", "a").isNotNull(), code("two")).alias("v")),
-        F.struct(F.when(one.isNotNull(), code("one")).alias("u"), F.when(F.col("k").isNotNull() & one.isNotNull(), F.xxhash64(F.lit(seed), F.lit("k"), "s", "k").bitwiseOR(F.lit(1))).alias("v")),
+        F.struct(F.when(one.isNotNull(), vertex("one")).alias("u"), F.when(F.coalesce("b", "a").isNotNull(), vertex("two")).alias("v")),
+        F.struct(F.when(one.isNotNull(), vertex("one")).alias("u"), F.when(F.col("k").isNotNull() & one.isNotNull(), shared("k")).alias("v")),
     )
     linked = rows.withColumns({"one": one, "two": F.coalesce("b", "a")}).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u is not null and v is not null")
     comps = scratch.write(components(linked, scratch))
     member = scratch.write(vertices.join(comps, "v").select("s", "x", "seed"))
-    least = member.groupBy("seed").agg(F.min("x").alias("group_id"))
-    return member.join(least, "seed").select(F.col("s").alias("scope"), F.col("x").alias(name), "group_id")
+    least = scratch.write(member.groupBy("seed").agg(F.min("x").alias("group_id"), F.count("*").alias("n")))
+    hot = hot_counted(least.select("seed", "n"), "seed", 2 * count)
+    return join_one(member, least.drop("n"), "seed", hot).select(F.col("s").alias("scope"), F.col("x").alias(name), "group_id")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.scratch import Scratch
+from quarry.skew import hot_counted, join_one
 
 #: Midpoints per round: 2^8 sections refine an interval as eight rounds of plain halving would.
 SECTIONS = 256
@@ -83,11 +84,16 @@ def top_n(rows: DataFrame, group: Column, scores: Sequence[Column], identifier:
             .withColumn("need", F.least("need", "total"))
             .filter("cum >= need and cum - cnt < need")
             .withColumn("left", F.col("need") - (F.col("cum") - F.col("cnt")))
-            .select("tn_g", F.col("tn_b").alias("cut"), "left", (F.col("left") == F.col("cnt")).alias("all_in"), "lo", "hi", "lo2", "hi2", (F.col("lo") == F.col("hi")).alias("tied"), "level")
+            .select("tn_g", F.col("total").alias("n"), F.col("tn_b").alias("cut"), "left", (F.col("left") == F.col("cnt")).alias("all_in"), "lo", "hi", "lo2", "hi2", (F.col("lo") == F.col("hi")).alias("tied"), "level")
         )
         cut = scratch.write(cut)
-        groups = cut.count()
-        joined = coded.drop("tn_need", "tn_level", "tn_lo", "tn_hi").join(F.broadcast(cut) if groups <= BROADCAST_ROWS else cut, "tn_g").filter("tn_b >= cut")
+        groups, rows_left = cut.agg(F.count("*"), F.sum("n")).first()
+        plain, ends_ = coded.drop("tn_need", "tn_level", "tn_lo", "tn_hi"), cut.drop("n")
+        if groups <= BROADCAST_ROWS:
+            joined = plain.join(F.broadcast(ends_), "tn_g")
+        else:  # rows of huge groups stay where they are, see ``skew``
+            joined = join_one(plain, ends_, "tn_g", hot_counted(cut.select("tn_g", "n"), "tn_g", rows_left))
+        joined = joined.filter("tn_b >= cut")
         new = scratch.write(
             joined.select(
                 "tn_g", "tn_id", *codes, (F.col("all_in") | (F.col("tn_b") > F.col("cut"))).alias("is_in"), F.col("left").alias("tn_need"),

@@ -7,7 +7,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import skew
 from quarry.llm import groups, topn
+from quarry.operators import pointers
 
 PAIRS = "run string, a string, b string, h string, extra int, v long"
 
@@ -63,8 +65,10 @@ def test_shapes(spark, monkeypatch):
     rows = chain + star + shared + [("r", "me", "me", None, 1, 1), ("q", "c000", "hub", "same", 1, 1)] + chain[:5] + [(s, b, a, h, e, v) for s, a, b, h, e, v in chain[:5]]
     want = brute(rows)
     assert solve(spark, rows) == want
-    monkeypatch.setattr(groups, "HOT_EDGES", 20)  # the salted way
-    monkeypatch.setattr(groups, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)  # the hub, the shared key and the large group are hot, nothing else is broadcast
+    monkeypatch.setattr(pointers, "BROADCAST_ROWS", 0)
+    assert solve(spark, rows) == want
+    monkeypatch.setattr(groups, "NARROW_ROWS", 0)  # 128 bits
     assert solve(spark, rows) == want
     assert solve(spark, []) == []
 
@@ -90,7 +94,7 @@ def best(rows, n):
     return sorted(out)
 
 
-def test_top_n_random(spark):
+def test_top_n_random(spark, monkeypatch):
     rnd = random.Random(4)
     rows = []
     for g, size in (("big", 900), ("ties", 400), ("few", 4), ("one", 1)):
@@ -99,7 +103,10 @@ def test_top_n_random(spark):
             rows.append((g, f"services/deep/common/prefix/{g}{'é' * (i % 3)}/{i}", score, rnd.choice([None, 1.0, -0.0, 0.0, math.nan]), 1))
     rows += [(None, "x", 1.0, 1.0, 1), ("few", None, 99.0, 1.0, 1)]
     df = spark.createDataFrame(rows, "g string, id string, s double, t double, tn_g int")
-    got = topn.top_n(df, F.col("g"), [F.col("s"), F.col("t")], F.col("id"), 10)
-    assert sorted(map(tuple, got.collect())) == best(rows, 10)
+    for few, hot in ((5_000, 50_000), (0, 100)):  # all cuts broadcast; those of the hot groups only
+        monkeypatch.setattr(topn, "BROADCAST_ROWS", few)
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
+        got = topn.top_n(df, F.col("g"), [F.col("s"), F.col("t")], F.col("id"), 10)
+        assert sorted(map(tuple, got.collect())) == best(rows, 10)
     empty = topn.top_n(df.limit(0), F.col("g"), [F.col("s")], F.col("id"), 10)
     assert empty.count() == 0
