@@ -11,9 +11,11 @@ the order into one stretch per source, and full passes plus a part of one more f
 Prefix sums run over hash buckets of bounded size, so no task holds a source, however large.
 
 Defined results
-* quota = total_tokens * weight / sum of weights. ``total_tokens`` defaults to the tokens of all distinct texts of
-  sources with a positive weight. A source whose distinct tokens times ``max_repeats`` fall short contributes all of
-  them; nobody else takes over the rest, and the report shows target and actual share.
+* quota = total_tokens * weight / sum of the weights of the sources that hold any tokens. ``total_tokens`` defaults to the largest
+  mix in which every such source can fill its quota within its ``max_repeats``, so the actual shares are the targets
+  over the present sources (``reachable_share``), but for less than one text's repetitions per source. ``target_share`` is over all sources.
+* With a larger total given, a source whose distinct tokens times ``max_repeats`` fall short contributes all of them; nobody else takes over
+  the rest, and the report shows it.
 * Drawing stops before the quota would be exceeded; the part missing is below the tokens of one text.
 * Null and unknown sources, sources of weight 0 or null, and texts without tokens (null, empty) are never drawn. An absent source has actual share 0.
 * A null max_repeats is 1. Several target rows of one source: the greatest weight counts. No documents: shares are 0.
@@ -87,6 +89,26 @@ def min_cost_flow(supply: dict[tuple[str, ...], int], segments: dict[str, list[t
     return {k: cap[e ^ 1] for k, e in routes.items() if cap[e ^ 1]}
 
 
+def largest_total(supply: dict[tuple[str, ...], int], weights: dict[str, float], repeats: dict[str, int]) -> int:
+    """Most tokens of a mix in which every source in ``weights`` fills its share with texts of its own, repeated as allowed."""
+    whole = sum(weights.values())
+    if not whole:
+        return 0
+
+    def fits(total: int) -> bool:
+        need = {s: -(-int(total * w / whole) // repeats[s]) for s, w in weights.items()}
+        return sum(min_cost_flow(supply, {s: [(n, 1)] for s, n in need.items()}).values()) == sum(need.values())
+
+    low, high = 0, sum(supply.values()) * max(repeats.values())
+    while low < high:
+        mid = (low + high + 1) // 2
+        if fits(mid):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def repetition_segments(quota: int, repeats: int) -> list[tuple[int, int]]:
     """Pieces of distinct tokens and what each is worth: with quota / r distinct tokens everything occurs r times."""
     cuts = [0, *[quota // r for r in range(repeats, 0, -1)]]
@@ -107,7 +129,7 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     """(mix, shares).
 
     mix: doc_id (the least one that holds the text in the source), source, n_tokens, repeats.
-    shares: source, target_share, actual_share, quota_tokens, mix_tokens, distinct_tokens, texts, highest_repeat.
+    shares: source, target_share, reachable_share, actual_share, quota_tokens, mix_tokens, distinct_tokens, texts, highest_repeat.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
@@ -126,8 +148,11 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     supply = {tuple(r[0].split("\u0001")): r[1] for r in sorted(sums)}
-    total = sum(supply.values()) if total_tokens is None else total_tokens
-    quota = {s: int(total * w / weights) if weights else 0 for s, w, _ in wanted}
+    held_by = {s for p in supply for s in p}
+    present = {s: w for s, (w, _) in active.items() if s in held_by}
+    reach = sum(present.values())
+    total = largest_total(supply, present, {s: active[s][1] for s in present}) if total_tokens is None else total_tokens
+    quota = {s: int(total * w / reach) if s in present else 0 for s, w, _ in wanted}
     flow = min_cost_flow(supply, {s: repetition_segments(quota[s], r) for s, (_, r) in active.items()})
     # stretches of each pattern's order, one per source, and where they continue the source's own order
     stretches, used, so_far = [], {}, dict.fromkeys(active, 0)
@@ -136,6 +161,8 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
         stretches.append(("\u0001".join(p), s, start, start + amount, so_far[s]))
         used[p] = start + amount
         so_far[s] += amount
+    if len(stretches) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} stretches of patterns")
     plan = spark.createDataFrame(stretches, "pattern string, source string, lo long, hi long, base long")
     most = max((r[2] for r in sums), default=1)
     buckets = max(16, -(-most // BUCKET_TEXTS))
@@ -143,7 +170,7 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     before = placed.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("here")).withColumn("start", F.sum("here").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("here")).select("pattern", "bucket", "start")
     within = Window.partitionBy("pattern", "bucket").orderBy("u", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("inner", F.sum("n_tokens").over(within) - F.col("n_tokens")).join(before, ["pattern", "bucket"]).withColumn("at", F.col("start") + F.col("inner"))
-    plan = F.broadcast(plan)  # at most MAX_PATTERNS patterns times their sources
+    plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
     fits = (placed["pattern"] == plan["pattern"]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))
     routed = scratch.write(
         placed.join(plan, fits).select(F.col("docs")[F.col("source")].alias("doc_id"), "source", "n_tokens", (F.col("at") - F.col("lo") + F.col("base")).alias("at"))
@@ -162,11 +189,11 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None
     per = mix.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("mix_tokens"), F.sum("n_tokens").alias("distinct_tokens"), F.count("*").alias("texts"), F.max("repeats").alias("highest_repeat")
     )
-    goal = spark.createDataFrame([(s, w / weights if weights else 0.0, quota[s]) for s, w, _ in wanted], "source string, target_share double, quota_tokens long")
+    goal = spark.createDataFrame([(s, w / weights if weights else 0.0, present.get(s, 0.0) / reach if reach else 0.0, quota[s]) for s, w, _ in wanted], "source string, target_share double, reachable_share double, quota_tokens long")
     shares = goal.join(per, "source", "left").na.fill(0, ["mix_tokens", "distinct_tokens", "texts", "highest_repeat"])
     whole = F.sum("mix_tokens").over(Window.partitionBy())
     shares = shares.select(
-        "source", "target_share", F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(0.0).alias("actual_share"), "quota_tokens", "mix_tokens", "distinct_tokens", "texts", "highest_repeat"
+        "source", "target_share", "reachable_share", F.when(whole > 0, F.col("mix_tokens") / whole).otherwise(0.0).alias("actual_share"), "quota_tokens", "mix_tokens", "distinct_tokens", "texts", "highest_repeat"
     )
     return mix, shares
 

@@ -93,3 +93,12 @@ def test_flow_prefers_sparing_repetition():
     f = mix.min_cost_flow({("a", "b"): 10, ("a",): 10}, {"a": mix.repetition_segments(10, 1), "b": mix.repetition_segments(20, 3)})
     assert f == {(("a", "b"), "b"): 10, (("a",), "a"): 10}
     assert mix.repetition_segments(12, 3) == [(4, 3), (2, 2), (6, 1)]
+
+
+def test_largest_total_fills_every_share():
+    from quarry.llm.mix import largest_total
+
+    supply = {("a",): 100, ("b",): 40, ("a", "b"): 20, ("c",): 10}
+    # c holds 10 and may be repeated three times: 30 tokens are a fifth of the mix
+    assert largest_total(supply, {"a": 2.0, "b": 2.0, "c": 1.0}, {"a": 1, "b": 1, "c": 3}) in range(148, 155)
+    assert largest_total(supply, {"b": 1.0}, {"b": 1}) == 60 and largest_total({}, {}, {}) == 0
