@@ -1,9 +1,13 @@
 """Personal information inside free text, by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs and their spelled-out forms, cues of phone and identity numbers, street
-words, given names, and pairs of digits. At each anchor a deterministic local parser reads the bounded surroundings,
-expands to the whole string and validates it. Nothing scans the text again from the start, and texts of any length are
-read whole. Found spans never overlap: of overlapping ones the higher kind in ``KINDS`` wins, then the longer.
+One Aho-Corasick pass finds anchors: at-signs and their spelled-out forms, cues of identity numbers, street words and
+pairs of digits. At each anchor a deterministic local parser expands to the whole string and validates it. Texts of any length
+are read whole. Found spans never overlap: of overlapping ones the higher kind in ``KINDS`` wins, then the longer.
+
+Persons are found by structure, not by a list of names: anchors are capitals; runs of capitalised words, words in
+capitals and initials are expanded over blanks, particles and one comma. A word takes part unless a vocabulary of a public
+tokenizer holds it in lower case as the more frequent piece. Where a sentence may begin, so that a capital tells nothing, two
+words that no vocabulary knows need more: a line of their own, an e-mail address made of one of them, or a given name.
 
 Defined results
 * Null, empty and blank texts hold nothing and stay as they are.
@@ -14,7 +18,9 @@ Defined results
 
 from __future__ import annotations
 
+import base64
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +32,9 @@ from quarry.session import spread
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 
-# Common given names of the languages covered.
-GIVEN = """
+# Given names. They decide only where a sentence begins with two words that no vocabulary knows.
+GIVEN = frozenset(
+    """
 Adam Adrian Adrien Agnes Ahmed Aisha Alain Albert Alejandro Alexander Alexandra Alice Alicia Amélie Ana Andrea Andreas
 Anita Anna Anne Anton Antonio Arthur Astrid Barbara Beatriz Benjamin Bernd Bruno Camille Carla Carlos Carmen Caroline
 Catherine Charles Charlotte Chiara Christian Christine Clara Claire Claudia Daniel David Diana Diego Dieter Dominik
@@ -40,12 +47,9 @@ Natalie Nicolas Nina Noah Noemi Olga Olivia Oscar Pablo Patrick Paul Paula Pedro
 Priya Rafael Raúl Ravi Robert Rosa Samuel Sara Sarah Sebastian Simon Sofia Sofía Sophie Stefan Susanne Theo Thomas
 Tobias Ursula Valentina Victor Wanda William Wolfgang Yara Yusuf Zoë
 """.split()
-# Words that lead up to a person's name.
-NAME_CUES = (
-    "signed-off-by:", "co-authored-by:", "reviewed-by:", "acked-by:", "reported-by:", '"assignee": "', '"author": "', '"name": "', "reported by", "handed over to",
-    "pairing notes with", "on request of", "please ask", "assigned to", "approved by", "gemeldet von", "vor dem merge", "ansprechpartner:", "ansprechpartnerin:", "freigabe durch",
-    "frau ", "herr ", "herrn ", "consultad con", "responsable:", "responsable :", "notificó", "signalé par", "voir avec", "dr. ", "prof. ", "mr. ", "mrs. ", "ms. ", "mme ", "sr. ", "sra. ", "cc ",
 )
+# Titles, which are no part of a name.
+TITLES = frozenset("Frau Herr Herrn Dr Prof Mr Mrs Ms Miss Mme Mlle Sr Sra Srta Don Doña Dott Ing Sig".split())
 # Words that lead up to an identity number.
 ID_CUES = (
     "social security number", "social security no", "ssn", "tax id", "tax number", "national id", "id number", "identity number", "identity card", "passport number", "passport no",
@@ -57,6 +61,8 @@ PHONE_CUES = (
     "phone", "mobile", "cell", "tel", "fax", "call", "ring", "dial", "pager", "on-call number", "sms", "whatsapp", "telefon", "telefonisch", "rufbereitschaft", "handy", "anrufen", "mobil",
     "guardia", "llamad", "llamar", "teléfono", "móvil", "astreinte", "appelez", "appeler", "téléphone", "portable", "joignable", "bitte",
 )
+#: A cue as a whole word, at most five words and no other number before the number.
+PHONE_LEAD = re.compile(r"(?<!\w)(?:" + "|".join(PHONE_CUES) + r")(?!\w)(?:\W*[^\W\d]+){0,5}\W*$")
 # Street words by where they stand. English ones follow the name, the others lead it or end it.
 STREET_AFTER = "Street|St\\.|St|Avenue|Ave\\.|Ave|Lane|Ln\\.|Road|Rd\\.|Rd|Drive|Court|Ct\\.|Crescent|Boulevard|Blvd\\.?|Terrace|Close|Square|Parkway|Place|Way|Row|Walk|Mews|Hill|Gardens|Grove"
 STREET_FR = "rue|avenue|boulevard|impasse|allée|chemin|place|quai|cours|passage|route|square|ruelle|esplanade|faubourg"
@@ -69,26 +75,62 @@ _WORD = rf"(?:[{_U}][{_L}]+(?:[-'’]?[{_U}]?[{_L}]+)*|(?:O|D)['’][{_U}][{_L}]
 _CAPS = rf"[{_U}][{_U}ß]+(?:[-'’][{_U}ß]+)*"
 _PART = r"(?:(?:de|del|della|di|da|dos|du|la|le|van|von|vom|zu|zur|der|den|ter|ten|el|al|bin|ibn) ){0,3}"
 _INIT = rf"[{_U}]\."
-FAMILY = re.compile(rf"[  ](?:{_INIT}[  ]?){{0,2}}({_PART}{_WORD})")
-FAMILY_CAPS = re.compile(rf"[  ](?:{_INIT}[  ]?){{0,2}}({_CAPS})(?![{_L}])")
-BEFORE = re.compile(rf"({_PART}(?:{_WORD}|{_CAPS})),[  ]$")
-MIDDLE = re.compile(rf"[  ]{_INIT}(?!\w)")
-FULL = re.compile(rf"\s?((?:{_WORD}|{_INIT})(?:[  ]{_INIT})?[  ]{_PART}{_WORD}|{_WORD},[  ]{_WORD}(?:[  ]{_INIT})?|(?:{_CAPS}|{_INIT})(?:[  ]{_INIT})?[  ]{_CAPS})(?!\w)")
-INITIAL = re.compile(rf"(?<![\w.])(?:{_INIT}[  ]?){{1,2}}(?<=[  ])({_PART}{_WORD}|{_CAPS})(?![\w@])")
-# Capitalised words that are no family names after a given name, an initial or a cue.
-NO_FAMILY = frozenset(
-    """a an the this that these those we i you he she it they please see why when where what which who how after before no nothing not and or but if in on at by of to for from with
-    could would should can may must is are was were do does did has have had new open fast main all any some each every build branch release sprint board builder gate lane scan team
-    group guild bot bots service services engine module modules item items issue issues view report reports check job jobs pipeline runner robot desk office department support squad crew committee
-    system admin nightly platform quality security treemap falcon mercury project product core data infra operations monday tuesday wednesday thursday friday saturday sunday january february
-    march april june july august september october november december bitte die der das am nach siehe größere ich kein keine und oder im zum la el los las le les un une una no por tras yo je
-    ne après largeur street avenue road drive court crescent dear hello kind best regards thanks merge rebase ticket coverage installed ring contact reply send ship mail signed reported""".split()
-)
-# Words that open a sentence or a note, so that a name in front of them ends there.
-OPENERS = frozenset(
-    """maintenance responsable kernel runner rows digest isbn location remote owner runs reunión réunion livraison kontakt contacto gemeldet freigabe ansprechpartner guardia astreinte rufbereitschaft
-    consultad escribid enviad quitad llamad appelez écrire envoyez merci voir signalé handed pairing national tax mon mobile number phone email note notes todo fixed merged closed opened""".split()
-)
+#: Pieces of names: words, words in capitals, initials; and what may stand between two of them.
+PIECE = re.compile(rf"(?<![\w@.\-/’'])(?:({_WORD})|({_CAPS})|({_INIT}))(?![\w@]|[.\-/]\w)")
+GAP = re.compile(rf"[  ]{_PART}|,[  ]")
+#: What a name is not followed by where it names a group, a machine or a thing.
+GROUPS = re.compile(r"[  ](?:[Tt]eam|[Gg]roup|[Gg]uild|[Ss]quad|[Bb]oard|[Bb]ot|[Ss]ervice|[Oo]ffice|[Ss]treet|[Aa]venue|[Rr]oad|[Ll]ane)\b")
+#: Within a sentence: after a word in lower case. Anywhere else a capital may mark a beginning and says nothing about the word.
+WITHIN = re.compile(rf"[{_L}]['’)\"]?,?[  ]$")
+
+
+class Words:
+    """What the vocabularies of public tokenizers tell about a word: the earlier piece of the two spellings is the more frequent one."""
+
+    _own: dict[tuple[str, ...], Words] = {}
+
+    @classmethod
+    def of(cls, paths: tuple[str, ...]) -> Words:
+        if paths not in cls._own:
+            cls._own[paths] = cls(paths)
+        return cls._own[paths]
+
+    def __init__(self, paths: tuple[str, ...]) -> None:
+        self.ranks: list[dict[str, int]] = []
+        for path in paths:
+            ranks = {}
+            with open(path, encoding="ascii") as f:
+                for line in f:
+                    piece, rank = line.split()
+                    raw = base64.b64decode(piece)
+                    if raw[:1] == b" ":
+                        ranks[raw[1:].decode("utf-8", "replace")] = int(rank)
+            self.ranks.append(ranks)
+        self.memo: dict[str, str] = {}
+
+    def kind(self, word: str) -> str:
+        """common: used in lower case rather than with a capital; proper: the other way; unknown: no vocabulary holds it whole."""
+        low = word.lower()
+        found = self.memo.get(low)
+        if found is None:
+            title = low[:1].upper() + low[1:]
+            found = "unknown"
+            for ranks in self.ranks:
+                a, b = ranks.get(low), ranks.get(title)
+                if a is not None and (b is None or a < b):
+                    found = "common"
+                    break
+                if b is not None:
+                    found = "proper"
+            self.memo[low] = found
+        return found
+
+
+def word_vocabularies() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return tuple(public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
+
 
 EMAIL_PLAIN = re.compile(r"[A-Za-z0-9_](?:[A-Za-z0-9._%+'\-]*[A-Za-z0-9_+\-])?$")
 _AT = r"(?:\(at\)|\[at\]|\{at\}|<at>|\(ät\)|\[ät\]|\(a\)|\[a\]|\(arroba\)|\[arroba\]|\(arobase\)|\[arobase\]|＠)"
@@ -176,18 +218,15 @@ class Finder:
             cls._own = cls()
         return cls._own
 
-    def __init__(self) -> None:
+    def __init__(self, vocabularies: tuple[str, ...] | None = None) -> None:
         import ahocorasick
 
+        self.words = Words.of(vocabularies or word_vocabularies())
         anchors: dict[str, set[tuple[str, str]]] = {}
 
         def add(kind: str, word: str) -> None:
             anchors.setdefault(word.lower(), set()).add((kind, word))
 
-        for w in GIVEN:
-            add("given", w)
-        for w in NAME_CUES:
-            add("who", w)
         for w in ID_CUES:
             add("id", w)
         add("at", "@")
@@ -211,8 +250,6 @@ class Finder:
             for sep in " .-/(":
                 add("digits", f"{sep}{i}")
             add("digits", f"+{i}")
-        for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÅÄÖÉÁÍÓÚØÇÑŁŠŽ":
-            add("initial", c + ". ")
         self.auto = ahocorasick.Automaton()
         for w, kinds in anchors.items():
             self.auto.add_word(w, (len(w), tuple(sorted(kinds))))
@@ -246,16 +283,17 @@ class Finder:
         for a, b in numbers.values():
             if any(a < y and x < b for x, y in taken_ids):
                 continue
-            lead = low[max(0, a - 28) : a]
-            if r := self._number(text, a, b, any(c in lead for c in PHONE_CUES)):
+            lead = low[low.rfind("\n", 0, a) + 1 : a]
+            if r := self._number(text, a, b, bool(PHONE_LEAD.search(lead))):
                 found.append(r)
+        found += self._names(text)
         return self._choose(found)
 
     @staticmethod
     def _left(text: str, a: int) -> int:
-        """Start of the number that text[a:] may lie in: back over digits and their separators, at most 40 characters."""
+        """Start of the number that text[a:] may lie in: back over digits and their separators."""
         i, start = a, a
-        while i > 0 and a - i < 40 and (text[i - 1].isdigit() or text[i - 1] in "+( \u00a0.-/)"):
+        while i > 0 and (text[i - 1].isdigit() or text[i - 1] in "+( \u00a0.-/)"):
             i -= 1
             if text[i].isdigit() or text[i] in "+(":
                 start = i
@@ -350,56 +388,69 @@ class Finder:
         m = ADDRESS_DE.match(text, a, min(len(text), b + 50)) if text[a].isupper() and not (a and text[a - 1].isalnum()) else None
         return (*_trim(text, m.start(), m.end()), "address") if m else None
 
-    @staticmethod
-    def _family(word: str) -> bool:
-        last = word.split()[-1].lower()
-        return last not in NO_FAMILY and last not in OPENERS and len(word) > 1
-
-    def _given(self, text: str, a: int, b: int, word: str) -> tuple[int, int, str] | None:
-        if (a and (text[a - 1].isalnum() or text[a - 1] in "_@.-/")) or (b < len(text) and (text[b].isalnum() or text[b] in "_@")):
-            return None
-        own = text[a:b]
-        if own == word or own == word.upper() or own == word.lower():
-            for pattern in (FAMILY, FAMILY_CAPS) if not own.isupper() else (FAMILY_CAPS, FAMILY):
-                m = pattern.match(text, b, min(len(text), b + 60))
-                if m and self._family(m.group(1)) and not (m.end() < len(text) and (text[m.end()].isalnum() or text[m.end()] in "_@")):
-                    return a, m.end(), "name"
-            m = BEFORE.search(text, max(0, a - 50), a)
-            if m and self._family(m.group(1)) and not (m.start() and text[m.start() - 1].isalnum()):
-                mid = MIDDLE.match(text, b)
-                return m.start(1), mid.end() if mid else b, "name"
-            if own.islower():
-                m = re.compile(rf"[  ](?:[{_L}]\.[  ])?([{_L}]{{4,}})(?!\w)").match(text, b, min(len(text), b + 40))
-                if m and self._family(m.group(1)) and any(text[max(0, a - len(c) - 1) : a].lower().strip().endswith(c.strip()) for c in NAME_CUES):
-                    return a, m.end(), "name"
-        return None
-
-    def _who(self, text: str, a: int, b: int, word: str) -> tuple[int, int, str] | None:
-        if a and text[a - 1].isalnum():
-            return None
-        m = FULL.match(text, b, min(len(text), b + 70))
-        if not m:
-            return None
-        words = re.findall(r"[^\W\d_]+", m.group(1))
-        if any(w.lower() in NO_FAMILY for w in words if len(w) > 1):
-            return None
-        rest = text[m.end() : m.end() + 14].lower()
-        if re.match(r"[  ](?:team|group|scan|bot|squad|service|guild|board|gate|release|sprint)\b", rest):
+    def _names(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Names by their structure: runs of capitalised pieces without common words, two words or an initial and a word,
+        in either order. Anchors are the capitals; each run is expanded over blanks, particles and one comma."""
+        run: list[tuple[int, int, str]] = []  # start, end, kind of piece
+        for m in [*PIECE.finditer(text), None]:
+            kind = None
+            if m is not None:
+                kind = "initial" if m.group(3) else "caps" if m.group(2) else "word"
+                if kind != "initial" and (len(m.group()) < 2 or m.group() in TITLES or any(self.words.kind(w) == "common" for w in re.split("[-'’]", m.group()) if len(w) > 1)):
+                    # a family name may be a common word, after a given name only
+                    kind = kind if len(run) == 1 and text[run[0][0] : run[0][1]].title() in GIVEN and text[run[0][1] : m.start()] in (" ", "\u00a0") and m.group() not in TITLES and len(m.group()) > 1 else None
+            if kind and run and (g := GAP.fullmatch(text, run[-1][1], m.start())) and not (g.group().startswith(",") and (len(run) > 1 + self._led(text, run) or kind == "initial" or run[-1][2] == "initial")):
+                run.append((m.start(), m.end(), kind))
+                continue
+            if len(run) > 1 and (r := self._name_run(text, run)):
+                yield r
+            run = [(m.start(), m.end(), kind)] if kind else []
+
+    def _name_run(self, text: str, run: list[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+        if len(run) > 2 and self._led(text, run):
+            run = run[1:]
+        turned = "," in text[run[0][1] : run[1][0]]
+        kind = next((k for _, _, k in run if k != "initial"), None)
+        taken: list[tuple[int, int, str]] = []
+        words = 0
+        for x, y, k in run:
+            if k not in ("initial", kind):
+                break
+            taken.append((x, y, k))
+            words += k != "initial"
+            known = k != "initial" and self.words.kind(text[x:y]) == "proper"
+            if words and len(taken) > 1 and k != "initial" and (turned or not known):
+                break  # the family name; what follows belongs to another sentence
+        if turned and len(taken) == 2 and len(run) > 2 and run[2][2] == "initial":
+            taken.append(run[2])
+        while taken and taken[-1][2] == "initial" and not turned:
+            taken.pop()
+        own = [text[x:y] for x, y, k in taken if k != "initial"]
+        if len(taken) < 2 or not own or (len(own) < 2 and taken[0][2] != "initial"):
             return None
-        if word in ("cc ", "please ask", "assigned to") and not re.match(rf"{_INIT}", m.group(1)) and not any(w in _GIVEN_SET for w in words):
+        a, b = taken[0][0], taken[-1][1]
+        if GROUPS.match(text, b) or (kind == "caps" and min(map(len, own)) < 3):
             return None
-        return m.start(1), m.end(1), "name"
+        if turned and (re.match(r",[  ]?\w", text[b : b + 3]) or text[max(0, a - 2) : a] == ", "):
+            return None  # a list
+        sure = taken[0][2] == "initial" or any(self.words.kind(w) == "proper" or w.title() in GIVEN for w in own)
+        sure = sure or bool(re.match(r"[  ]?[<(][^\s<>()]+@", text[b : b + 80]))
+        if not sure and re.match(r"[  ]\d{1,4}(?!\d)", text[b : b + 6]):
+            return None  # a numbered thing
+        if not sure and not WITHIN.search(text, max(0, a - 5), a) and not re.match(r"[ \t]*(?:\n|\r|$)", text[b : b + 8]) and not self._in_address(text, own):
+            return None  # the first words of a sentence, which may be any words
+        return a, b, "name"
 
-    def _initial(self, text: str, a: int, b: int, word: str) -> tuple[int, int, str] | None:
-        if not text[a].isupper():
-            return None
-        m = INITIAL.match(text, a, min(len(text), b + 60))
-        if not m or not self._family(m.group(1)):
-            return None
-        before = text[max(0, a - 24) : a].rstrip()
-        if re.search(rf"[{_U}][\w]*$", before) and not re.search(r"(?:Frau|Herr|Herrn|Merge|Dr|Mr|Ms|Mme)$", before):
-            return None  # part of a longer name, or a label such as Plan B.
-        return m.start(), m.end(), "name"
+    @staticmethod
+    def _led(text: str, run: list[tuple[int, int, str]]) -> bool:
+        """Whether a particle follows the first piece, which then is no given name if a whole name follows: Reported by A B."""
+        return len(run) > 1 and run[0][2] != "initial" and bool(text[run[0][1] : run[1][0]].strip(" ,\u00a0"))
+
+    @staticmethod
+    def _in_address(text: str, words: list[str]) -> bool:
+        """Whether an e-mail address of the text is made of one of the words."""
+        plain = lambda w: unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode().lower()
+        return any(len(w) > 3 and re.search(rf"{re.escape(plain(w))}[\w.+\-]*@", text, re.I) for w in words)
 
     @staticmethod
     def _choose(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -424,9 +475,6 @@ class Finder:
         return "".join([*out, text[at:]])
 
 
-_GIVEN_SET = frozenset(GIVEN) | frozenset(g.upper() for g in GIVEN)
-
-
 def scan(df: DataFrame, key: str, text: str, redacted: bool = True) -> DataFrame:
     """One row per document: ``key``, found (array of kind and value), and with ``redacted`` the text with placeholders."""
     fields = [df.schema[key], T.StructField("found", T.ArrayType(T.StructType([T.StructField("pii_kind", T.StringType()), T.StructField("matched_text", T.StringType())])))]
