@@ -2,15 +2,17 @@
 
 Vendored copies: each file's token stream, without comments and spacing, is fingerprinted by winnowing (the smallest
 hash of every window of hashes of ``GRAM`` tokens). A fingerprint that occurs in ``REPOSITORIES`` or more unrelated
-repositories recurs; a file nearly all of whose fingerprints recur is a copy, whatever its path or notice says.
-Repositories of one owner are related and count once. Counting distinct owners is an aggregation over fingerprints that
-combines before the shuffle; no task holds a fingerprint's files or a file's corpus.
+repositories recurs; a file most of whose fingerprints recur is a copy, whatever its path, name or notice says. Files of every
+suffix are fingerprinted, and copies come first: what is a copy needs no other kind. Repositories of one owner are
+related and count once. Counting distinct owners is an aggregation over fingerprints that combines before the shuffle; no task
+holds a fingerprint's files or a file's corpus, and fingerprints of very many files are joined without one task for each.
 
-The other kinds show in the file itself: a tool's stamp or a third party's notice in the comments that open the file;
-line and spacing figures of minified code; the share of numbers or encoded bytes; members numbered through.
-Whatever a file merely says in strings or in later text counts for nothing.
+The other kinds show in the token stream or the opening comments: a tool's stamp; spacing of minified code; the share of
+numbers, literals or encoded bytes; members numbered through. Ordinary JSON, YAML, Markdown, text and shell files are
+data or text by nature, so of these only copies and stamped files count. What a file merely says in strings or in later text counts for nothing.
 
 Defined results: null contents are no cases; empty and tiny files are hand-written; of repeated rows any flags the id.
+A file of fewer than GRAM tokens has no fingerprint and is no copy.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.session import spread
+from quarry.skew import hot_keys, join_one
 
 #: Tokens in a fingerprinted gram, hashes in a winnowing window (a shared run of GRAM + WINDOW - 1 tokens shares a fingerprint).
 GRAM, WINDOW = 48, 8
 #: Unrelated repositories in which a fingerprint recurs; share of recurring fingerprints of a copy; fewest fingerprints that tell.
-REPOSITORIES, SHARE, LEAST = 3, 0.95, 1
+REPOSITORIES, SHARE, LEAST = 3, 0.6, 1
 
 PLAIN_SUFFIXES = frozenset({"json", "yml", "yaml", "md", "markdown", "rst", "txt", "sh", "bash", "lock", "toml", "ini", "cfg"})
 HASH_COMMENTS = frozenset({"py", "pyi", "rb", "sh", "yml", "yaml", "toml"})
@@ -42,17 +45,9 @@ STRIP_HASH = re.compile(r'("""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?
 TOOL_STAMP = re.compile(
     r"(?i)\b(?:code|file|source|sources|class|stubs?)?\s*(?:is |was |has been )?(?:auto[- ]?)?generated (?:by|from|with|using|at|on)\b|@generated\b|\bauto-?generated\b|<auto-?generated|"
     r"\bautomatically (?:created|generated|produced|written|built) (?:by|from|with)\b|\bmachine[- ](?:written|generated|made|produced)\b|\bdo not (?:modify|edit|change|touch)\b[^\n]*\b(?:output of|generated|produced|created|regenerate)\b|"
-    r"\b(?:changes|edits|modifications)\b[^\n]{0,40}\bwill be (?:lost|overwritten|discarded)\b|\bregenerated? (?:with|by|using|from|via)\b|\boutput of \w[\w-]*(?:gen|rpc|c|compiler)\b|"
-    r"^\W*[\w.-]+ v?\d+(?:\.\d+)+ (?:<|from|for|-?>) ?[\w./-]+\.(?:proto|xml|ya?ml|idl|schema|thrift|graphql|avsc|wsdl|xsd|g4|json)\b"
+    r"\b(?:changes|edits|modifications)\b[^\n]{0,40}\bwill be (?:lost|overwritten|discarded)\b|\bregenerated? (?:with|by|using|from|via)\b|\boutput of \w[\w-]*(?:gen|rpc|c|compiler)\b"
 )
 TOOL_NOT = re.compile(r"(?i)\bnot (?:auto[- ]?)?generated\b|\bby hand\b|\bhand-?written\b")
-NOTICE = re.compile(
-    r"(?i)\(c\)[^\n|]{1,60}\bcontributors\b|copyright[^\n]{1,80}\bcontributors\b|^\W*@license\b|\bdownloaded from https?:|\b(?:vendored|copied|imported|forked|taken|adapted|borrowed) from\b|"
-    r"\bupstream(?: version)?[: ]+(?:v?\d|https?:)|\brelease v?\d+(?:\.\d+)+, upstream|\bupdate upstream\b|^\W*[\w.-]+ v?\d+\.\d+(?:\.\d+)? ?\|"
-)
-OURS = re.compile(r"(?i)\bthe project team\b|\bthis (?:project|repository)\b")
-THIRD_DIRS = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|third[_-]?party|vendor|vendored|site-packages|_?ext(?:ern(?:al)?)?|deps|Godeps|Pods|jspm_packages)/")
-VERSIONED = re.compile(r"(?i)[-_.]v?\d+\.\d+(?:\.\d+)?(?:\.min)?(?:_[0-9a-f]+)?\.\w+$")
 BASE64 = re.compile(r"[A-Za-z0-9+/=_\-]{60,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:0x[0-9a-fA-F]{1,2}\s*,\s*){16,}")
 NUMBERED = re.compile(r"\b[A-Za-z_$]*[A-Za-z_](\d{1,4})\b|\['(\d{1,4})'\]")
 
@@ -104,44 +99,41 @@ def fingerprints(tokens: list[str]) -> np.ndarray:
 
 
 def inspect(path: str | None, text: str) -> tuple[str | None, list[str]]:
-    """The kind that the file itself shows (generated, minified, vendored, data or None), and its tokens."""
+    """The kind that the file itself shows (generated, minified, data or None), and its tokens."""
     text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
     kind = suffix(path)
-    if kind in PLAIN_SUFFIXES or not text.strip():
+    if not text.strip():
         return None, []
     hash_style = kind in HASH_COMMENTS
     head = header(text, hash_style)
     code = (STRIP_HASH if hash_style else STRIP_C).sub(lambda m: m.group(1) or " ", text)
     tokens = TOKEN.findall(code)
-    p = (path or "").replace("\\", "/")
     if any(TOOL_STAMP.search(line) and not TOOL_NOT.search(line) for line in head.split("\n")):
         return "generated", tokens
-    if any(NOTICE.search(line) and not OURS.search(line) for line in head.split("\n")):
-        return "vendored", tokens
+    if kind in PLAIN_SUFFIXES:
+        return None, tokens
     words = [t for t in tokens if t[0].isalnum() or t[0] in "_$\"'`"]
     numbers = sum(t[0].isdigit() for t in words)
     quoted = sum(len(t) for t in tokens if t[0] in "\"'`")
     size = sum(map(len, tokens)) or 1
     coded = sum(len(m.group()) for m in BASE64.finditer(code))
-    if (numbers >= 60 and numbers >= 0.8 * len(words)) or (coded >= 200 and coded >= 0.6 * size):
+    if (numbers >= 8 and numbers >= 0.8 * len(words)) or (coded >= 60 and coded >= 0.6 * size):
         return "data", tokens
     literals = numbers + sum(t[0] in "\"'`" for t in words)
     if literals >= 40 and literals >= 0.85 * len(words):
         return "data", tokens
     lines = [x for x in code.split("\n") if x.strip()]
-    if kind not in HASH_COMMENTS and size >= 150:
+    if kind not in HASH_COMMENTS and size >= 40:
         bare = size - quoted
         blanks = sum(x.count(" ") + x.count("\t") for x in lines)
         if bare / max(1, len(lines)) >= 90 and blanks <= 0.16 * size:
             return "minified", tokens
-    if kind != "css" and len(lines) >= 6:
+    if kind != "css" and len(lines) >= 4:
         seen = [{int(a or b) for a, b in NUMBERED.findall(x)} for x in lines]
         marked = sum(map(bool, seen))
         top = set().union(*seen)
         if len(top) >= 4 and set(range(4)) <= top and (marked >= 0.55 * len(lines) or sum(len(s) for s in seen) >= len(lines)):
             return "generated", tokens
-    if THIRD_DIRS.search(p) and VERSIONED.search(p):
-        return "vendored", tokens
     return None, tokens
 
 
@@ -174,10 +166,11 @@ def not_handwritten(files: DataFrame, key: str, group: str, path: str, content:
     else:
         seen = seen.withColumn("owner", F.col(group))
     seen = Scratch(files.sparkSession, "handwritten").write(seen.select(key, "owner", "kind", "prints"))
-    shown = seen.filter("kind is not null").select(key, "kind").distinct()
     prints = seen.select("owner", F.explode("prints").alias("h"))
     recurring = prints.distinct().groupBy("h").count().filter(F.col("count") >= REPOSITORIES).select("h")
-    open_ = seen.filter(F.col("kind").isNull() & (F.size("prints") >= LEAST))
-    shares = open_.select(key, F.size("prints").alias("n"), F.explode("prints").alias("h")).join(recurring, "h").groupBy(key, "n").count()
+    each = seen.filter(F.size("prints") >= LEAST).select(key, F.size("prints").alias("n"), F.explode("prints").alias("h"))
+    rows = seen.agg(F.sum(F.size("prints"))).first()[0] or 0
+    shares = join_one(each, recurring, "h", hot_keys(each, "h", rows)).groupBy(key, "n").count()
     copies = shares.filter(F.col("count") >= SHARE * F.col("n")).select(key, F.lit("vendored").alias("kind")).distinct()
-    return shown.unionByName(copies)
+    shown = seen.filter("kind is not null").select(key, "kind").distinct()
+    return copies.unionByName(shown.join(copies.select(key), key, "left_anti"))
