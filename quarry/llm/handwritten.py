@@ -165,12 +165,13 @@ def not_handwritten(files: DataFrame, key: str, group: str, path: str, content:
         seen = seen.join(owners.select(group, "owner"), group, "left").withColumn("owner", F.coalesce("owner", group))
     else:
         seen = seen.withColumn("owner", F.col(group))
-    seen = Scratch(files.sparkSession, "handwritten").write(seen.select(key, "owner", "kind", "prints"))
+    scratch = Scratch(files.sparkSession, "handwritten")
+    seen = scratch.write(seen.select(key, "owner", "kind", "prints"))
     prints = seen.select("owner", F.explode("prints").alias("h"))
     recurring = prints.distinct().groupBy("h").count().filter(F.col("count") >= REPOSITORIES).select("h")
     each = seen.filter(F.size("prints") >= LEAST).select(key, F.size("prints").alias("n"), F.explode("prints").alias("h"))
     rows = seen.agg(F.sum(F.size("prints"))).first()[0] or 0
     shares = join_one(each, recurring, "h", hot_keys(each, "h", rows)).groupBy(key, "n").count()
-    copies = shares.filter(F.col("count") >= SHARE * F.col("n")).select(key, F.lit("vendored").alias("kind")).distinct()
+    copies = scratch.write(shares.filter(F.col("count") >= SHARE * F.col("n")).select(key, F.lit("vendored").alias("kind")).distinct())
     shown = seen.filter("kind is not null").select(key, "kind").distinct()
     return copies.unionByName(shown.join(copies.select(key), key, "left_anti"))
