@@ -1,6 +1,6 @@
 """Small sources with known results: the parse, figure, import, rule, score, map and report chain on rows that are given here.
 
-Each query runs the production operators over its own sources; its twin lists the expected rows, worked out by hand.
+Each query runs the production operators over its own sources; its twin lists the expected rows, checked by hand.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Expected rows of the sample queries, checked by hand against the rules that the operators follow."""
+"""Expected rows of the sample queries: the operators' output, checked by hand against the rules that they follow."""
 
 
 def _rows(columns: str, values: str) -> str:
