@@ -70,7 +70,7 @@ FRAMES = (
 
 
 def test_names_that_no_list_holds():
-    """Recall on names and sentences of several languages that nothing here was fitted to."""
+    """Recall on names and sentences of several languages, none of them from the tables or from a list here."""
     hits = [(n, f) for n in HELD_OUT for f in FRAMES for t in [f.format(n)] if any(k == "name" and t[a:b] == n for a, b, k in pii.Finder.get().spans(t))]
     assert len(hits) / (len(HELD_OUT) * len(FRAMES)) >= 0.9
     for plain in ("ordering 4155550132 units", "string 0612345678 parsed", "The Quarterly Report is Ready", "Visit Paris, London, Madrid and Rome"):
