@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from quarry import skew
+from quarry.operators import hierarchy, pointers
 from quarry.operators.hierarchy import descendants, resolve
 
 T0 = datetime(2024, 1, 1)
@@ -80,3 +82,15 @@ def test_descendants_on_and_below_cycles(spark):
             at = up[at]
     got = descendants(spark.createDataFrame(rows, SCHEMA), F.col("id"), F.col("up"), [F.col("at")], cyclic=True)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_wide_parents_and_wide_codes(spark, monkeypatch):
+    """A parent of half of all rows, with the joins of hot keys, no broadcasts by size and 128-bit codes."""
+    rows = [(f"w{i}", "top", "w", T0, 1, "") for i in range(60)] + [("top", None, "t", T0, 1, "")] + [(f"d{i}", f"d{i - 1}" if i else "w3", "d", T0, 1, "") for i in range(40)]
+    rows += [("c1", "c2", "c", T0, 1, ""), ("c2", "c1", "c", T0, 1, "")] + [(f"b{i}", "c1", "b", T0, 1, "") for i in range(30)]
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(pointers, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pointers, "BROADCAST_ROWS_PATHS", 0)
+    monkeypatch.setattr(hierarchy, "BROADCAST_ROWS_PATHS", 0)
+    monkeypatch.setattr(hierarchy, "NARROW_ROWS", 0)
+    assert solve(spark, rows) == brute(rows)
