@@ -198,6 +198,74 @@ def test_clones_of_a_window_with_many_occurrences(spark):
     assert clones.covered_lines(got, "grp").count() == 150
 
 
+def maximal_blocks(files):
+    """(source, source lines, target, target lines, tokens, type) by comparing all pairs of tokens; of equal begins the longest, without contained ones."""
+    tokens = {p: clones.tokens_of(p, t) for p, t in files}
+    out = []
+    for p in sorted(tokens):
+        for q in sorted(x for x in tokens if x >= p):
+            x, y, best = tokens[p], tokens[q], {}
+            for a in range(len(x)):
+                for b in range(a + 1 if p == q else 0, len(y)):
+                    n = 0
+                    if a and b and x[a - 1].normal == y[b - 1].normal:
+                        continue
+                    while a + n < len(x) and b + n < len(y) and x[a + n].normal == y[b + n].normal:
+                        n += 1
+                    if n < clones.WINDOW or p == q and b - a < n:
+                        continue
+                    s, e, s2, e2 = x[a].line, x[a + n - 1].line, y[b].line, y[b + n - 1].line
+                    kind = 1 if [t.text for t in x[a : a + n]] == [t.text for t in y[b : b + n]] else 2
+                    if max(e - s, e2 - s2) + 1 >= clones.LINES and (p != q or s2 > e):
+                        best[s, s2] = min(best.get((s, s2), (0,)), (-n, -max(e - s, e2 - s2), kind, e, e2))
+            for (s, s2), (n, _, kind, e, e2) in best.items():
+                if not any(o != (s, s2) and o[0] <= s and o[1] <= s2 and v[3] >= e and v[4] >= e2 for o, v in best.items()):
+                    out.append((p, s, e, q, s2, e2, -n, kind))
+    return sorted(out)
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_clones_are_the_maximal_runs(spark):
+    pick = random.Random(5)
+    lines = ["a = b", "f(x, y)", "if a:", "return (1)", "x = [1, 2]", "import k", "b = a + 1", "g()", "for i in a: pass", "y.z = 0"]
+    base = [pick.choice(lines) for _ in range(60)]
+    files = []
+    for i in range(9):
+        text, at = [], pick.randrange(20)
+        while len(text) < 50:
+            n = pick.choice([9, 10, 12, 17, 25])
+            text += [pick.choice(lines) for _ in range(pick.randrange(3))] + base[at : at + n]
+            at = pick.randrange(40)
+        files.append((f"f{i}.js", "\n".join(text).replace("; ", "\n") + "\n"))
+    files.append(("table.json", "[\n" + "".join(f'"k{i}": {i},\n' for i in range(40)) + "]\n"))
+    files.append(("odd.js", "\u0001\n" + "\n".join(base[5:40]) + "\n\u0001"))
+    rows = spark.createDataFrame([("g", *x) for x in files], "grp string, path string, content string")
+    got = clones.find_clones(clones.token_table(rows, "grp", "path", "content"), "grp").collect()
+    sides = [f"{s}_{c}" for s in ("source", "target") for c in ("file_path", "start_line", "end_line")]
+    want = maximal_blocks(files)
+    assert len(want) > 50 and sorted((*[r[c] for c in sides], r["token_count"], r["clone_type"]) for r in got) == want
+
+
+def test_clones_shuffle_little(spark):
+    pick = random.Random(7)
+    files = [("g", f"f{i}.js", "".join(f"{pick.choice('abc')}{i} {pick.choice('+-*/')} f{k}({pick.choice('xyz')}, {k}) {pick.choice('&|^')} {pick.choice('!~')}w\n" for k in range(300))) for i in range(60)]
+    tokens = clones.token_table(spark.createDataFrame(files, "grp string, path string, content string"), "grp", "path", "content").cache()
+    tokens.count()
+    before, usual = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert clones.find_clones(tokens, "grp").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    written, size = shuffled_bytes(spark) - before, sum(len(t) for _, _, t in files)
+    assert written < 6 * size, (written, size)
+
+
 def test_numstat(spark):
     z = "\0"
     log = f"COMMIT{z}h1{z}Alice{z}\n10{'\t'}2{'\t'}main.py{z}5{'\t'}1{'\t'}utils.py{z}COMMIT{z}h2{z}Bob{z}\n5{'\t'}4{'\t'}main.py{z}-{'\t'}-{'\t'}./logo.png{z}3{'\t'}0{'\t'}{z}old.py{z}new.py{z}"
