@@ -104,10 +104,15 @@ def cancellations(rows: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 
 
 def replay(rows: DataFrame, folder: str, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over all that is there now into a table in memory or files, for checks and batch use."""
+    """Run a streaming DataFrame over all that is there now into files, for checks and batch use.
+
+    Outside append mode a batch gives the whole result, which takes the place of the one before; no row passes the driver.
+    """
+    spark, schema = rows.sparkSession, rows.schema
     if mode == "append":
         rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rows.sparkSession.table(name)
+    else:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(folder)  # of a stream without files no batch runs
+        whole = lambda batch, _: batch.write.mode("overwrite").parquet(folder)
+        rows.writeStream.foreachBatch(whole).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(folder)

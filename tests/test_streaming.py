@@ -40,3 +40,15 @@ def test_cancel_requests_expire(spark):
     rows = spark.createDataFrame([("a", "2024-01-01 10:30:00"), ("a", "2024-01-01 11:30:00"), ("b", "2024-01-01 10:30:00")], "k string, ts string").withColumn("ts", F.to_timestamp("ts"))
     asked = spark.createDataFrame([("a", "2024-01-01 10:00:00")], "k string, requested_at string").withColumn("requested_at", F.to_timestamp("requested_at"))
     assert [r["stop"] for r in progress.cancellations(rows, asked, "k").orderBy("k", "ts").collect()] == [True, False, False]
+
+
+def test_complete_results_lie_in_files_and_not_in_the_driver(spark, tmp_path):
+    rows = [("k", at(s)) for s in (0, 30, 80, 200)]
+    out = replay(tmp_path, progress.silent_sessions(stream(spark, tmp_path, rows, "k string, ts string"), "k", "ts", "60 seconds"), "t4", "complete")
+    assert sorted(r["events"] for r in out.collect()) == [1, 3] and out.inputFiles()
+
+
+def test_complete_result_of_no_files_is_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    assert replay(tmp_path, progress.silent_sessions(rows, "k", "ts", "60 seconds"), "t5", "complete").count() == 0
