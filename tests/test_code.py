@@ -266,6 +266,36 @@ def test_clones_shuffle_little(spark):
     assert written < 6 * size, (written, size)
 
 
+def without_broadcasts(spark, run):
+    """What ``run`` gives, and the bytes that it shuffles."""
+    before, usual = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    return out, shuffled_bytes(spark) - before
+
+
+def test_clones_of_many_copies_shuffle_little(spark):
+    pick = random.Random(3)
+    text = [f"{pick.choice('abc')}{k} {pick.choice('+-*/')} f{k}({pick.choice('xyz')}, {k}) {pick.choice('&|^')} {pick.choice('!~')}w" for k in range(60)]
+    files = [("g", f"{pick.randrange(1 << 60):x}/f{i}.js", "\n".join([f"if {i};", *text[pick.randrange(20) : pick.randrange(40, 60)]])) for i in range(250)]
+    tokens = clones.token_table(spark.createDataFrame(files, "grp string, path string, content string"), "grp", "path", "content").cache()
+    tokens.count()
+    pairs, written = without_broadcasts(spark, lambda: clones.find_clones(tokens, "grp").count())
+    assert pairs == 250 * 249 // 2 and written < 90 * pairs, written / pairs
+
+
+def test_imports_shuffle_little_whatever_the_folders(spark):
+    files = spark.createDataFrame([("g", f"d{i}/m{i}.py") for i in range(200)], "grp string, path string").cache()
+    imports = spark.createDataFrame([("g", f"d{i}/m{i}.py", "Python", 0, f"m{i + 1}", [], i, 0) for i in range(200)], "grp string, path string, language string, ordinal int, target_module string, imported_symbols array<string>, line_number int, level int").cache()
+    files.count(), imports.count()
+    got, written = without_broadcasts(spark, lambda: dependencies.resolve_imports(imports, files, "grp").collect())
+    assert sorted(r["target_path"] for r in got if r["target_path"]) == sorted(f"d{i}/m{i}.py" for i in range(1, 200))
+    assert written < 500 * len(got), written / len(got)
+
+
 def test_numstat(spark):
     z = "\0"
     log = f"COMMIT{z}h1{z}Alice{z}\n10{'\t'}2{'\t'}main.py{z}5{'\t'}1{'\t'}utils.py{z}COMMIT{z}h2{z}Bob{z}\n5{'\t'}4{'\t'}main.py{z}-{'\t'}-{'\t'}./logo.png{z}3{'\t'}0{'\t'}{z}old.py{z}new.py{z}"
