@@ -296,6 +296,13 @@ def test_imports_shuffle_little_whatever_the_folders(spark):
     assert written < 500 * len(got), written / len(got)
 
 
+def test_assessment_keeps_short_issues(spark, small):
+    from quarry.plans.code import Assessment
+
+    found = Assessment(spark, small).issues
+    assert not {"title", "fingerprint"} & set(found.columns) and found.count() > 0
+
+
 def test_numstat(spark):
     z = "\0"
     log = f"COMMIT{z}h1{z}Alice{z}\n10{'\t'}2{'\t'}main.py{z}5{'\t'}1{'\t'}utils.py{z}COMMIT{z}h2{z}Bob{z}\n5{'\t'}4{'\t'}main.py{z}-{'\t'}-{'\t'}./logo.png{z}3{'\t'}0{'\t'}{z}old.py{z}new.py{z}"
