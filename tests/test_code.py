@@ -1,6 +1,7 @@
 """Parsing, figures, imports, clones, rules, churn and treemaps on small sources."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from quarry.operators import churn, clones, dependencies, metrics, rules, treema
 from quarry.operators.health import figures, health_scores, recommendations
 from quarry.parse import ecma_source, python_source
 from quarry.parse.files import explode_parts, parse_files, parse_one
+from quarry.scratch import Scratch
 from quarry.sources import discovery
 
 PY = '''import os, sys as s
@@ -287,6 +289,47 @@ def test_clones_of_many_copies_shuffle_little(spark):
     assert pairs == 250 * 249 // 2 and written < 90 * pairs, written / pairs
 
 
+
+def test_stored_clones_come_in_slices(spark, monkeypatch):
+    sizes = {"g": 24, "h": 12, "i": 3, "j": 3}
+    files = [(g, f"f{i:02}.py", f"x_{i} = 1\ndef f(value):\n{BODY}" + (f"y = {i}\n" + BODY if i % 3 else "")) for g, n in sizes.items() for i in range(n)]
+    tokens = clones.token_table(spark.createDataFrame(files, "grp string, path string, content string"), "grp", "path", "content").cache()
+    all_ = clones.find_clones(tokens, "grp")
+    want = sorted(map(tuple, all_.collect()))
+    for name, value in (("SLICES", 2), ("SLICE_BYTES", 1000), ("LARGE_FILES", 10), ("SLICE_PAIRS", 250)):
+        monkeypatch.setattr(clones, name, value)
+    scratch, written = Scratch(spark, "slices"), []
+    gather = scratch.gather
+    monkeypatch.setattr(scratch, "gather", lambda parts, by=(): gather((written.append(x) or x for x in parts), by))
+    got = clones.store_clones(tokens, "grp", scratch, all_.columns)
+    assert len(written) >= 4 and len(want) > 24 * 23 // 2 and sorted(map(tuple, got.collect())) == want
+
+
+def test_scores_work_out_no_advice(spark, small, monkeypatch):
+    from quarry.plans import code
+
+    monkeypatch.setattr(code.health, "recommendations", lambda *x, **y: 1 / 0)
+    a = code.Assessment(spark, small)
+    assert a.scored.count() == a.gates.count() > 0
+    with pytest.raises(ZeroDivisionError):
+        a.advice  # noqa: B018
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    kept = shuffle_files(spark)
+    table = Scratch(spark, "tidy", tidy=True).write(spark.range(1000).repartition(7))
+    for _ in range(50):  # they go in the background
+        if not (more := shuffle_files(spark) - kept):
+            break
+        time.sleep(0.1)
+    assert not more and table.count() == 1000
+
+
 def test_imports_shuffle_little_whatever_the_folders(spark):
     files = spark.createDataFrame([("g", f"d{i}/m{i}.py") for i in range(200)], "grp string, path string").cache()
     imports = spark.createDataFrame([("g", f"d{i}/m{i}.py", "Python", 0, f"m{i + 1}", [], i, 0) for i in range(200)], "grp string, path string, language string, ordinal int, target_module string, imported_symbols array<string>, line_number int, level int").cache()
