@@ -46,12 +46,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         told = scratch.write(told)
         best = told.groupBy("w").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("w")).cast("int")).alias("own"), F.max("m").alias("high"))
         best = scratch.write(best)
-        forest.append(best.filter("own = 0").select(F.col("w").alias("v"), F.col("low").alias("p")))
         more = best.filter("low <> high").select("w", "low")
         busy = hot.withColumnRenamed("u", "w") if hot is not None else None
         rest = join_one(told, more, "w", busy).filter("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
         new = scratch.write(rest)
-        scratch.drop(graph, told)
+        forest.append(scratch.write(best.filter("own = 0").select(F.col("w").alias("v"), F.col("low").alias("p"))))
+        scratch.drop(graph, told, best)
         if everyone is None:
             everyone = low.select(F.col("u").alias("v"))
         else:
@@ -77,7 +77,7 @@ def _tagged(c: Column, bit: int, wide: bool) -> Column:
 
 def group_matches(pairs: DataFrame, scope: Column, source: Column, target: Column, key: Column, name: str = "file_path") -> DataFrame:
     """scope, ``name``, group_id (the smallest name of the group within the scope) for every vertex named in ``pairs``."""
-    scratch = Scratch(pairs.sparkSession, "groups")
+    scratch = Scratch(pairs.sparkSession, "groups", tidy=True)
     count = pairs.count()
     seed, wide = 0, count > NARROW_ROWS
 
@@ -105,6 +105,7 @@ def group_matches(pairs: DataFrame, scope: Column, source: Column, target: Colum
     linked = rows.withColumns({"one": one, "two": F.coalesce("b", "a")}).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u is not null and v is not null")
     comps = scratch.write(components(linked, scratch))
     member = scratch.write(vertices.join(comps, "v").select("s", "x", "seed"))
+    scratch.drop(vertices, comps)
     least = scratch.write(member.groupBy("seed").agg(F.min("x").alias("group_id"), F.count("*").alias("n")))
     hot = hot_counted(least.select("seed", "n"), "seed", 2 * count)
     return join_one(member, least.drop("n"), "seed", hot).select(F.col("s").alias("scope"), F.col("x").alias(name), "group_id")
