@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import Counter
 from datetime import datetime
 from math import comb, factorial
@@ -101,3 +102,8 @@ def test_json_reports_count_all_cycles(spark, tables):
     assert {run: [c["value"] for c in p["quality_gate"]["conditions"] if c["name"] == "circular_dependencies"] for run, p in got.items()} == {run: [float(n)] for run, n in CYCLES.items()}
     assert got["ring"]["health"]["architecture_score"] == 100 - 12 - 25
     assert [r["target"] for r in got["dense"]["recommendations"]] == [f"cycle::{i}" for i in (1, 10, 100, 101, 102)]
+
+
+def test_markdown_reports_count_all_cycles(spark, tables):
+    got = {r[0]: int(re.search(r"\| critical \| (\d+) \|", r[1]).group(1)) for r in code.markdown_reports(spark, tables).collect()}
+    assert got == CYCLES
